@@ -14,7 +14,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.core import num, rnd
+from tickerloom.functions.core import num
 from tickerloom.operators import (
     fundamentals, holders, indicators, intraday, lookups, macro, news, outlook, rating, refresh, reports, scores,
 )
@@ -108,6 +108,8 @@ def with_rating(rows: DataFrame, context: DataFrame) -> DataFrame:
     return outlook.trade_plan(outlook.trade_plan(r, "invest"), "trade")
 
 
+
 def snapshot(inp: Inputs) -> DataFrame:
+    """The whole screen as one lazy plan; `plans.stages` writes the same stages as tables."""
     rows = with_side_tables(with_fundamentals(technical(inp), inp), inp)
     return with_rating(rows, macro.context(inp.macro_quotes, inp.as_of))

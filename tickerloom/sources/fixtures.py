@@ -129,8 +129,8 @@ def bars30(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def last_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "ts").alias("last_close"))
+def last_closes(daily: DataFrame) -> DataFrame:
+    return daily.groupBy("symbol").agg(F.max_by("close", "ts").alias("last_close"))
 
 
 def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +195,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_fundamentals(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
     """Vendor-named fundamentals snapshot, one row per symbol."""
     y = _yearly_full(spark, sf_dir).where("period_rank <= 1")
     cur = lambda c: F.max(F.when(F.col("period_rank") == 0, F.col(c))).alias(c)
@@ -205,7 +205,7 @@ def raw_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = y.groupBy(_symbol(F.col("suppkey")).alias("symbol")).agg(
         *[cur(c) for c in names], prior("revenue"), prior("net_income"))
     u = universe(spark, sf_dir).select("symbol", "sector", "industry", "acctbal")
-    b = (wide.join(u, "symbol").join(last_closes(spark, sf_dir), "symbol")
+    b = (wide.join(u, "symbol").join(last_closes(daily), "symbol")
          .withColumn("equity", F.col("total_assets") - F.coalesce(F.col("total_liabilities"), num(0)))
          .withColumn("bal", F.abs("acctbal")))
     ok = F.col("acctbal") >= 0
@@ -266,10 +266,13 @@ def social(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.when(now, 1)).cast("int").alias("mentions"),
         F.count(F.when(~now, 1)).cast("int").alias("mentions_24h_ago"),
         F.count(F.when(now & (F.col("event_type") == "click"), 1)).cast("int").alias("upvotes"))
-    rank = lambda c: F.when(F.col(c) > 0, F.row_number().over(
-        Window.orderBy(F.desc(c), "ticker")).cast("int"))
-    return board.select("ticker", rank("mentions").alias("rank"), "mentions", "upvotes", "mentions_24h_ago",
-                        rank("mentions_24h_ago").alias("rank_24h_ago"))
+    from tickerloom.functions.ranks import exact_rank
+    board = board.withColumn("_tie", F.substring("ticker", 2, 20).cast("long"))
+    for source, name in (("mentions", "rank"), ("mentions_24h_ago", "rank_24h_ago")):
+        board = exact_rank(board.withColumn("_m", F.when(F.col(source) > 0, F.col(source))), "_m", "_tie", name,
+                           descending=True).drop("_m")
+    return board.select("ticker", F.col("rank").cast("int"), "mentions", "upvotes", "mentions_24h_ago",
+                        F.col("rank_24h_ago").cast("int"))
 
 
 def earnings_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,9 +363,8 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "mode", "hits")
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def positions(spark: SparkSession, sf_dir: str, b: DataFrame) -> DataFrame:
     """Ten open positions: the most traded symbols, entered 60 bars ago."""
-    b = bars(spark, sf_dir)
     last = Window.partitionBy("symbol").orderBy(F.desc("ts"))
     per = b.withColumn("rr", F.row_number().over(last)).groupBy("symbol").agg(
         F.sum("volume").alias("traded"),
@@ -376,16 +378,15 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         num(900).alias("stake"), (F.lit(60) + F.col("ord") % 30).cast("int").alias("score_at_entry"))
 
 
-def account(spark: SparkSession, sf_dir: str) -> DataFrame:
+def account(b: DataFrame) -> DataFrame:
     """One-row portfolio account (date of the newest bar = trading day)."""
-    return bars(spark, sf_dir).agg(F.max("ts").alias("today")).select(
+    return b.agg(F.max("ts").alias("today")).select(
         "today", num(10000).alias("start_capital"), num(1500).alias("cash"),
         num(250).alias("realized_pnl"), F.date_sub("today", 1).alias("last_trade_date"))
 
 
-def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trade_log(b: DataFrame) -> DataFrame:
     """Closed monthly round trips of every symbol plus their opening buys."""
-    b = bars(spark, sf_dir)
     m = b.groupBy("symbol", F.trunc("ts", "month").alias("month")).agg(
         F.min("ts").alias("d0"), F.max("ts").alias("d1"),
         F.min_by("close", "ts").alias("p0"), F.max_by("close", "ts").alias("p1"))
@@ -397,8 +398,8 @@ def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sell.unionByName(buy)
 
 
-def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir).groupBy(F.col("ts").alias("date")).agg(rnd(F.avg("close") * num(100), 2).alias("equity"))
+def equity_curve(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
+    b = daily.groupBy(F.col("ts").alias("date")).agg(rnd(F.avg("close") * num(100), 2).alias("equity"))
     q = macro_quotes(spark, sf_dir).where("series in ('spx','ndx','world')").groupBy(F.col("d").alias("date")).agg(
         *[rnd(F.max(F.when(F.col("series") == s, F.col("close"))), 2).alias(f"bench_{n}")
           for s, n in (("spx", "sp500"), ("ndx", "ndx"), ("world", "world"))])
