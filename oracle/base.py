@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 FRAGMENTS: dict[str, str] = {}
+# pushing the filters of several readers into this shared fragment loses rows, so it is inlined
+INLINE = {"q_year"}
 
 
 def define(name: str, sql: str) -> None:
@@ -27,17 +29,17 @@ def compose(body: str) -> str:
     visit(body)
     if not order:
         return body
-    parts = ",\n".join(f"{n} AS ({FRAGMENTS[n]})" for n in order)
+    parts = ",\n".join(f"{n} AS {'NOT MATERIALIZED ' if n in INLINE else ''}({FRAGMENTS[n]})" for n in order)
     return f"WITH RECURSIVE {parts}\n{body}"
 
 
 def r(x: str, n: int) -> str:
-    """Half-even rounding without negative zero."""
-    return f"(round_even(CAST({x} AS DOUBLE), {n}) + 0.0)"
+    """Half-even rounding of the shortest decimal form; missing, NaN and infinite values give NULL."""
+    return f"CAST(round_even(TRY_CAST(CAST({x} AS DOUBLE) AS DECIMAL(38, 14)), {n}) AS DOUBLE)"
 
 
 def ri(x: str) -> str:
-    return f"CAST(round_even(CAST({x} AS DOUBLE), 0) AS INTEGER)"
+    return f"CAST(round_even(TRY_CAST(CAST({x} AS DOUBLE) AS DECIMAL(38, 14)), 0) AS INTEGER)"
 
 
 def dv(a: str, b: str) -> str:

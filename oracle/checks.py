@@ -45,7 +45,7 @@ _f = [d for d in fund.FIELDS.values()]
 check("fundamentals_load", "SELECT symbol, " + ", ".join(
     d if d in fund.TEXT_FIELDS or d == "analyst_n" else f"{r(d, 5)} AS {d}" for d in _f) + " FROM q_fund")
 check("statements_wide", "SELECT symbol, " + ", ".join(
-    f"{r(f'{n}_{p}', 2)} AS {n}_{p}" for p in (0, 1) for n in fund.LINE_ITEMS) + " FROM q_wide")
+    f"{r(f'{n}_{p}', 6)} AS {n}_{p}" for p in (0, 1) for n in fund.LINE_ITEMS) + " FROM q_wide")
 check("earnings_next", "SELECT symbol, next_earnings, earnings_in_days FROM q_earn")
 check("coverage_report", f"""
   SELECT 'S' || c_custkey AS symbol, c_name AS name, coalesce(n, 0) AS n_closes, {r('last_close', 4)} AS last_close,
@@ -160,7 +160,7 @@ check("downside", f"""
 check("falling_knife", f"""
   SELECT symbol, CASE WHEN knife THEN '🔪 Fallendes Messer: Kurs stürzt aktuell steil (' || CASE WHEN ret_5d <= -8 THEN {t0('ret_5d')} || '% in 1 Woche'
          ELSE {t0('ret_20d')} || '% in 1 Monat' END || ') und hat sich noch nicht stabilisiert – nicht hineingreifen, erst einen Boden/Aufwärts-Dreh abwarten.' END AS knife_warn FROM q_r6""")
-check("bottoming", "SELECT symbol, bottoming_n, CAST(least(100, 40 + bottoming_n * 8) AS INTEGER) AS bottoming_strength, bottoming_signals FROM q_r6")
+check("bottoming", "SELECT symbol, bottoming_n, CASE WHEN bottoming_n IS NOT NULL THEN CAST(least(100, 40 + bottoming_n * 8) AS INTEGER) END AS bottoming_strength, bottoming_signals FROM q_r6")
 _turn = "(rising OR daytrade_direction = 'LONG')"
 check("entry_score", f"""
   SELECT symbol, entry_score, CASE WHEN entry_score >= 70 THEN 'sehr gut' WHEN entry_score >= 55 THEN 'gut' WHEN entry_score >= 45 THEN 'okay' WHEN entry_score >= 32

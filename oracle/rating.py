@@ -122,7 +122,7 @@ TURN = "50 + " + pts(
     "CASE WHEN macd_hist > 0 AND macd_hist_prev IS NOT NULL THEN 6 END", "CASE daytrade_direction WHEN 'LONG' THEN 16 WHEN 'SHORT' THEN -16 END",
     "CASE WHEN price > ema9 THEN 8 WHEN price <= ema9 THEN -8 END",
     "CASE WHEN stoch_k > stoch_d AND stoch_k < 45 THEN 10 WHEN stoch_k < stoch_d AND stoch_k > 70 THEN -8 END")
-_two = lambda c: f'round_even("{c}", 2)'
+_two = lambda c: r(f'"{c}"', 2)
 LEVELS = "[" + ", ".join(_two(c) for c in rt.SUPPORT_LEVELS) + "]"
 BELOW_RAW = "[" + ", ".join(f'CASE WHEN "{c}" > 0 AND "{c}" < price THEN {_two(c)} END' for c in rt.SUPPORT_LEVELS) + "]"
 DECLINED = "(coalesce(pct_from_high52 <= -20, FALSE) OR coalesce(ret_60d <= -20, FALSE) OR coalesce(ret_20d <= -12, FALSE))"

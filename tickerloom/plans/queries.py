@@ -78,7 +78,7 @@ def fundamentals_load(st: Stages) -> DataFrame:
 @query
 def statements_wide(st: Stages) -> DataFrame:
     w = fundamentals.statements_wide(fx.statements(st.spark, st.sf_dir))
-    return w.select("symbol", *[rnd(c, 2).alias(c) for c in w.columns[1:]])
+    return w.select("symbol", *[rnd(c, 6).alias(c) for c in w.columns[1:]])
 
 
 @query

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions.core import num
-from tickerloom.operators.refresh import upsert
 from tickerloom.session import work_dir
 from tickerloom.streaming import bars as sb
 from tickerloom.streaming.indicators import running_indicators
@@ -79,17 +78,18 @@ def replay_alerts(spark: SparkSession, bars: DataFrame, profile: DataFrame) -> D
 def upsert_latest(stream: DataFrame, root: str) -> None:
     """Keeps the newest bar per symbol: each micro-batch writes version=<batch id> from the version before.
 
-    A batch is first reduced to one row per symbol; repeating a batch after a failure
-    rewrites the same version from the same predecessor.
+    Old and new rows meet in one aggregation that keeps the latest ts, so files may
+    arrive in any order; repeating a batch after a failure rewrites the same version
+    from the same predecessor.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         cols = [c for c in batch.columns if c != "symbol"]
-        new = batch.groupBy("symbol").agg(F.max_by(F.struct(*cols), "ts").alias("r")).select("symbol", "r.*")
         if batch_id > 0:
-            new = upsert(spark.read.parquet(f"{root}/version={batch_id - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+            batch = batch.unionByName(spark.read.parquet(f"{root}/version={batch_id - 1}"))
+        latest = batch.groupBy("symbol").agg(F.max_by(F.struct(*cols), "ts").alias("r")).select("symbol", "r.*")
+        latest.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}-checkpoint")
          .trigger(availableNow=True).start())
