@@ -35,11 +35,11 @@ def compose(body: str) -> str:
 
 def r(x: str, n: int) -> str:
     """Half-even rounding of the shortest decimal form; missing, NaN and infinite values give NULL."""
-    return f"CAST(round_even(TRY_CAST(CAST({x} AS DOUBLE) AS DECIMAL(38, 14)), {n}) AS DOUBLE)"
+    return f"CAST(round_even(TRY_CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 16)), {n}) AS DOUBLE)"
 
 
 def ri(x: str) -> str:
-    return f"CAST(round_even(TRY_CAST(CAST({x} AS DOUBLE) AS DECIMAL(38, 14)), 0) AS INTEGER)"
+    return f"CAST(round_even(TRY_CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 16)), 0) AS INTEGER)"
 
 
 def dv(a: str, b: str) -> str:

@@ -65,7 +65,7 @@ check("cache_upsert", "SELECT symbol, fetched_at, mode, hits FROM q_merged")
 check("carry_forward", """
   SELECT f.symbol, price, news_score, news_sentiment, news_n FROM q_feat f LEFT JOIN q_prevnews p ON p.symbol = f.symbol""")
 check("news_override", """
-  SELECT r.symbol, coalesce(least(greatest(score, 0), 100), news_score) AS news_score,
+  SELECT r.symbol, CASE WHEN o.symbol IS NOT NULL THEN least(greatest(score, 0), 100) ELSE news_score END AS news_score,
          CASE WHEN o.symbol IS NULL THEN news_sentiment WHEN direction = 'bullish' THEN 'positiv' WHEN direction = 'bearish' THEN 'negativ' ELSE 'neutral' END AS news_sentiment,
          CASE WHEN o.symbol IS NOT NULL THEN 'KI' END AS news_mode, reason AS news_override_reason
   FROM (SELECT *, row_number() OVER (ORDER BY coalesce(investment_score, 0) DESC, ord) AS place FROM q_rows) r
