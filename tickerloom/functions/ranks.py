@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.core import num
+from tickerloom.session import cut_lineage
 
 VALUE_BINS = 4096
 TIE_BLOCK = 65536
@@ -20,40 +21,35 @@ def exact_rank(df: DataFrame, value: str, tie: str, out: str, by: Sequence[str]
     Same numbers as row_number() over the whole group, but no group is ever sorted
     in one task: rows meet only rows of the same (value, block of ties); the blocks'
     counts are then added up along a fixed grid of value bins. The bins are a
-    monotone function of the value, so neither sampling nor driver work is needed,
-    and both uses of the ranked rows share one exchange. Rows with a NULL value
-    get a NULL rank and do not count.
+    monotone function of the value, so neither sampling nor driver work is needed.
+    The narrow rows are checkpointed once: the input is not evaluated again for the
+    counts, and chained ranks keep short plans. `tie` must be unique within `by`. Rows with a NULL value get a NULL rank and do not count.
     """
     by = list(by)
     v = F.col(value).cast("double")
     key = -v if descending else v
     squash = num(0.5) + F.atan(key / num(scale)) / num(3.141592653589793)
-    keyed = df.withColumns({
-        "_v": key,
-        "_bin": F.floor(squash * VALUE_BINS).cast("int"),
-        "_tb": F.floor(F.col(tie) / TIE_BLOCK).cast("long"),
-    })
+    # only the rank keys travel; payload columns are joined back by the unique tie
+    narrow = df.where(v.isNotNull()).select(
+        *by, F.col(tie).alias("_tie"), key.alias("_v"), F.floor(squash * VALUE_BINS).cast("int").alias("_bin"),
+        F.floor(F.col(tie) / TIE_BLOCK).cast("long").alias("_tb"))
     cell = [*by, "_bin", "_v", "_tb"]
-    rows = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*cell).orderBy(tie)))
+    rows = cut_lineage(narrow.withColumn("_rn", F.row_number().over(Window.partitionBy(*cell).orderBy("_tie"))))
 
-    cells = rows.where("_v is not null").groupBy(*cell).agg(F.max("_rn").cast("long").alias("_n"))
+    cells = rows.groupBy(*cell).agg(F.max("_rn").cast("long").alias("_n"))
     in_bin = Window.partitionBy(*by, "_bin").orderBy("_v", "_tb")
-    before = F.coalesce(F.sum("_n").over(in_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("_in", before)
-    bins = cells.groupBy(*by, "_bin").agg(F.sum("_n").alias("_b"))
+    cells = cells.withColumn("_in", F.sum("_n").over(in_bin) - F.col("_n"))
+    bins = rows.groupBy(*by, "_bin").agg(F.count("*").alias("_b"))
     # at most VALUE_BINS rows per group reach this window
     along = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bin")
-    bins = bins.withColumns({
-        "_below": F.sum("_b").over(along) - F.col("_b"),
-        "_total": F.sum("_b").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-    })
-    offsets = cells.join(bins, [*by, "_bin"]).select(
-        *cell, (F.col("_below") + F.col("_in")).alias("_off"), "_total")
-    ranked = rows.join(offsets, cell, "left")
-    result = ranked.withColumn(out, (F.col("_rn") + F.col("_off")).cast("long"))
-    if total:
-        result = result.withColumn(total, F.col("_total"))
-    return result.drop("_v", "_bin", "_tb", "_rn", "_off", "_total")
+    bins = bins.select(
+        *by, "_bin", (F.sum("_b").over(along) - F.col("_b")).alias("_below"),
+        F.sum("_b").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    offsets = cells.join(bins, [*by, "_bin"]).select(*cell, (F.col("_below") + F.col("_in")).alias("_off"), "_total")
+    ranks = rows.join(offsets, cell).select(
+        *by, F.col("_tie").alias(tie), (F.col("_rn") + F.col("_off")).alias(out),
+        *([F.col("_total").alias(total)] if total else []))
+    return df.join(ranks, [*by, tie], "left")
 
 
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -124,9 +124,9 @@ def magic_formula(fundamentals: DataFrame) -> DataFrame:
     """
     f = fundamentals.select("symbol", "ord", F.when(C("enterprise_value") > 0, div("ebitda", "enterprise_value"))
                             .alias("ey"), "roa")
-    r = exact_rank(f, "ey", "ord", "ey_rank", descending=True, scale=0.1)
-    r = exact_rank(r, "roa", "ord", "roa_rank", descending=True, scale=0.1)
-    both = r.where("ey_rank is not null and roa_rank is not null").select(
+    ey = exact_rank(f.select("symbol", "ord", "ey"), "ey", "ord", "ey_rank", descending=True, scale=0.1)
+    roa = exact_rank(f.select("ord", "roa"), "roa", "ord", "roa_rank", descending=True, scale=0.1)
+    both = ey.join(roa, "ord").where("ey_rank is not null and roa_rank is not null").select(
         "symbol", "ord", (C("ey_rank") + C("roa_rank")).alias("rank_sum"))
     out = exact_rank(both, "rank_sum", "ord", "i", total="n", scale=1000.0)
     return out.select("symbol", rnd(div(num(100) * (C("n") - C("i") + 1), C("n")), 1).alias("magic_score"))

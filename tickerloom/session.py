@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "tickerloom") -> SparkSession:
@@ -36,3 +36,11 @@ def work_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", named)
     return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: computed once, survives lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(f"{work_dir(df.sparkSession).rstrip('/')}/tickerloom/checkpoints")
+    return df.checkpoint()
