@@ -408,7 +408,7 @@ check("stream_sessions", """
        CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY symbol, grp), q_wm WHERE "end" <= wm""")
 check("stream_indicators", f"SELECT symbol, {', '.join(f'{r(c, 4)} AS {c}' for c in ('macd', 'macd_signal', 'macd_hist', 'rsi'))}, psar_bull FROM q_folded")
 check("stream_alerts", f"""
-  SELECT symbol, ts, {r('volume / nullif(vol_avg20, 0)', 4)} AS rvol, {r('(close / nullif(sma200, 0) - 1) * 100', 4)} AS ret_pct,
-         CASE WHEN (close / sma200 - 1) * 100 <= -8 THEN 'drop' ELSE 'volume' END AS alert
-  FROM q_bars JOIN (SELECT symbol, vol_avg20, sma200 FROM q_feat) USING (symbol) WHERE (close / sma200 - 1) * 100 <= -8 OR volume / vol_avg20 >= 1.8""")
+  SELECT symbol, ts, rvol, ret_pct, CASE WHEN ret_pct <= -8 THEN 'drop' ELSE 'volume' END AS alert
+  FROM (SELECT symbol, ts, {r('volume / nullif(vol_avg20, 0)', 4)} AS rvol, {r('(close / nullif(sma200, 0) - 1) * 100', 4)} AS ret_pct
+        FROM q_bars JOIN (SELECT symbol, vol_avg20, sma200 FROM q_feat) USING (symbol)) WHERE ret_pct <= -8 OR rvol >= 1.8""")
 check("stream_snapshot", f"SELECT b.symbol, ts, {r('close', 4)} AS close, listing, sector FROM q_newest b JOIN q_universe USING (symbol) WHERE rr = 1")

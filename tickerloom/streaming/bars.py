@@ -54,7 +54,7 @@ def alerts(bars: DataFrame, profile: DataFrame) -> DataFrame:
     which broadcasts the profile only while it is small.
     """
     j = bars.join(profile, "symbol")
-    rvol, ret = div("volume", "vol_avg20"), (div("close", "ref_close") - num(1)) * num(100)
+    rvol, ret = rnd(div("volume", "vol_avg20"), 4), rnd((div("close", "ref_close") - num(1)) * num(100), 4)
     kind = F.when(ret <= -8, F.lit("drop")).when(rvol >= 1.8, F.lit("volume"))
-    return (j.select("symbol", "ts", rnd(rvol, 4).alias("rvol"), rnd(ret, 4).alias("ret_pct"), kind.alias("alert"))
+    return (j.select("symbol", "ts", rvol.alias("rvol"), ret.alias("ret_pct"), kind.alias("alert"))
             .where("alert is not null"))
