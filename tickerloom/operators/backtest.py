@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.core import div, num, rnd
 from tickerloom.functions.ranks import exact_rank
-from tickerloom.functions.windows import by_symbol, rolling, trailing, with_decayed_sums
+from tickerloom.functions.windows import by_symbol, with_decayed_sums
 from tickerloom.operators.scores import longterm_score
+from tickerloom.session import cut_lineage
 
 C = F.col
 HORIZONS = (21, 63, 126, 252)
 MIN_HIST, BUCKETS = 220, 5
+YEAR = 252
 
 
 def rebalance_dates(bars: DataFrame) -> DataFrame:
@@ -51,10 +53,19 @@ def score_series(bars: DataFrame) -> DataFrame:
     b = with_decayed_sums(b, {"macd_signal": (seed(C("macd"), a9), 1 - a9)})
     n = C("rn") + 1
     rsi = F.when(n > 14, num(100) - div(num(100), num(1) + div("_gain", F.nullif(C("_loss"), num(0)))))
+    # long frames cost O(frame) per row, so means come from running sums and the yearly high from
+    # the running high of the current block and of the rest of the block before it
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    block = Window.partitionBy("symbol", "_yr")
+    b = b.withColumns({"_cum": F.sum("close").over(so_far), "_yr": F.floor(C("rn") / YEAR)})
+    b = b.withColumns({"_head": F.max("close").over(block.orderBy("ts")),
+                       "_tail": F.max("close").over(block.orderBy(F.desc("ts")))})
+    mean = lambda m: F.when(n >= m, (C("_cum") - F.lag("_cum", m, 0.0).over(w)) / num(m))
+    high = F.greatest("_head", F.lag("_tail", YEAR - 1).over(w))
     f = b.select(
         "symbol", "ts", "rn", "close", c.alias("price"), "macd", "macd_signal", rsi.alias("rsi"),
-        rolling(F.avg("close"), c, 50).alias("sma50"), rolling(F.avg("close"), c, 200).alias("sma200"),
-        ((div(c, F.max("close").over(trailing(252))) - num(1)) * num(100)).alias("pct_from_high52"),
+        mean(50).alias("sma50"), mean(200).alias("sma200"),
+        ((div(c, high) - num(1)) * num(100)).alias("pct_from_high52"),
         F.when(n > 61, (div(c, F.lag("close", 60).over(w)) - num(1)) * num(100)).alias("ret_60d"))
     return f.select("symbol", "ts", "rn", "close", longterm_score().alias("longterm_score"))
 
@@ -95,8 +106,10 @@ def scored_panel(bars: DataFrame, min_hist: int = MIN_HIST, horizons: Sequence[i
         (C("rn") + 1 >= min_hist) & (C("n_future") >= min(horizons)))
     long = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), C(f"fwd_{h}").alias("fwd_ret"))
                                for h in horizons])).alias("x")
-    every = Window.partitionBy("rebalance")
-    rows = rows.withColumn("_names", F.count("*").over(every)).where(C("_names") >= BUCKETS * 3)
+    # one row per symbol and month from here on; written once because it is read twice below
+    rows = cut_lineage(rows)
+    names = rows.groupBy("rebalance").agg(F.count("*").alias("_names")).where(C("_names") >= BUCKETS * 3)
+    rows = rows.join(names, "rebalance", "left_semi")
     return (rows.select("symbol", "rebalance", "longterm_score", long)
             .select("symbol", "rebalance", "longterm_score", "x.*").where("fwd_ret is not null"))
 
