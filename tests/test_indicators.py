@@ -137,6 +137,15 @@ def test_path_dependent_flags(frame, folded, sym):
     assert folded.loc[sym, "supertrend_up"] == loop_trend(f)
 
 
+def test_path_flag_series_ends_at_the_folds(bars, folded):
+    s = indicators.path_flag_series(bars.where("symbol in ('A', 'D', 'E', 'F', 'UP')"))
+    last = s.groupBy("symbol").agg(F.max_by(F.struct("supertrend_up", "psar_bull"), "ts").alias("r")).collect()
+    assert len(last) == 5 and s.count() == sum(LENGTHS[x] for x in ("A", "D", "E", "F", "UP"))
+    for x in last:
+        assert x["r"]["psar_bull"] == folded.loc[x["symbol"], "psar_bull"]
+        assert x["r"]["supertrend_up"] == folded.loc[x["symbol"], "supertrend_up"]
+
+
 def test_latest_shape_equals_series_shape(bars):
     latest = indicators.rounded(indicators.latest_window_features(bars))
     newest = bars.groupBy("symbol").agg(F.max("ts").alias("ts"))

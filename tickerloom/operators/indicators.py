@@ -8,6 +8,7 @@ indicators fold the symbol's bars natively.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -291,6 +292,42 @@ def folded_features(bars: DataFrame) -> DataFrame:
             "max_drawdown_pct": F.col("_dd")}.items()])
 
 
+def _path_flags(frame: pd.DataFrame) -> pd.DataFrame:
+    """Supertrend(10, 3) and SAR flags at every bar of one symbol."""
+    f = frame.sort_values("ts")
+    prev = f["close"].shift(1)
+    ranges = pd.concat([f["high"] - f["low"], (f["high"] - prev).abs(), (f["low"] - prev).abs()], axis=1)
+    smooth = 3.0 * ranges.max(axis=1).ewm(alpha=0.1, adjust=False, min_periods=10).mean()
+    mid = (f["high"] + f["low"]) / 2
+    trend, sar = [None], []
+    up_band, low_band, rising = (mid + smooth).iloc[0], (mid - smooth).iloc[0], True
+    level, extreme, speed, bull, last = f["low"].iloc[0], f["high"].iloc[0], 0.02, True, None
+    for high, low, close, upper, lower in zip(f["high"], f["low"], f["close"], mid + smooth, mid - smooth):
+        if last is not None:
+            rising = True if close > up_band else False if close < low_band else rising
+            trend.append(rising)
+            up_band = min(upper, up_band) if last <= up_band else upper
+            low_band = max(lower, low_band) if last >= low_band else lower
+            level = level + speed * (extreme - level)
+            best, worst = (high, low) if bull else (low, high)
+            if (worst < level) if bull else (worst > level):
+                level, extreme, speed, bull = extreme, worst, 0.02, not bull
+            elif (best > extreme) if bull else (best < extreme):
+                extreme, speed = best, min(speed + 0.02, 0.2)
+        sar.append(bool(close > level))
+        last = close
+    return pd.DataFrame({"symbol": f["symbol"], "ts": f["ts"], "supertrend_up": trend, "psar_bull": sar})
+
+
+def path_flag_series(bars: DataFrame) -> DataFrame:
+    """Series shape of the two path-dependent flags; one group is one symbol's days, bounded by the calendar.
+
+    Supertrend compares with the lower band of the previous bar, as the fold does.
+    """
+    return bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(
+        _path_flags, "symbol string, ts date, supertrend_up boolean, psar_bull boolean")
+
+
 def latest_features(bars: DataFrame) -> DataFrame:
     """One raw (unrounded) feature row per symbol with at least 30 bars."""
     f = latest_window_features(bars).join(folded_features(bars), "symbol")
