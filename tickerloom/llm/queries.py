@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tickerloom.llm import phrases
+from tickerloom.llm import phrases, setjoin
 from tickerloom.llm.tables import documents
 
 
@@ -14,4 +13,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(docs, with_text=False).select("doc_id", "dedup.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_duplicates(documents(spark, sf_dir), shingle=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_ngram_jaccard)}

@@ -17,4 +17,16 @@ o AS (SELECT e.doc_id, n, r, string_agg(w[e.p + 1], ' ' ORDER BY e.p) FILTER (WH
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM o
 """
 
-ORACLE = {"op1_substring_dedup": OP1}
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i + 1:i + 3], ' ')) AS g FROM
+      (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY x, y),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 90 * (nx.n + ny.n - common)),
+e AS MATERIALIZED (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.u, r.reached FROM r JOIN e ON e.v = r.doc_id)
+SELECT r.doc_id, coalesce(n.n, 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id, n.n
+"""
+
+ORACLE = {"op1_substring_dedup": OP1, "op6_ngram_jaccard": OP6}
