@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import phrases, setjoin
+from tickerloom.llm import phrases, rules, setjoin
 from tickerloom.llm.tables import documents
 
 
@@ -17,4 +17,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(documents(spark, sf_dir), shingle=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_ngram_jaccard)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(documents(spark, sf_dir), carry=["doc_id"]).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_ngram_jaccard, op9_quality_rules)}

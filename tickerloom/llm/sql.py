@@ -29,4 +29,32 @@ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.u, r.reached
 SELECT r.doc_id, coalesce(n.n, 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id, n.n
 """
 
-ORACLE = {"op1_substring_dedup": OP1, "op6_ngram_jaccard": OP6}
+_PICK = ", ".join(f"max(CASE WHEN measure = '{k}' THEN t END) AS t{i}" for i, k in enumerate(("symbols", "dup_lines", "repeats", "shouting")))
+OP9 = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win
+        WHERE (doc_id, g) IN (SELECT (doc_id, g) FROM win GROUP BY doc_id, g HAVING count(*) > 1)) GROUP BY doc_id),
+m AS MATERIALIZED (SELECT d.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+      length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals FROM d LEFT JOIN rep USING (doc_id)),
+b AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+      least(500, n_symbols * 1000 // greatest(1, n_words) // 10) AS c0, least(500, n_dup_lines * 1000 // greatest(1, n_lines) // 10) AS c1,
+      least(500, n_repeat_words * 1000 // greatest(1, n_words) // 10) AS c2, least(500, n_capitals * 1000 // greatest(1, n_words) // 10) AS c3 FROM m),
+c AS MATERIALIZED (SELECT lang, source, unnest([{{'measure': 'symbols', 'cell': c0}}, {{'measure': 'dup_lines', 'cell': c1}}, {{'measure': 'repeats', 'cell': c2}}, {{'measure': 'shouting', 'cell': c3}}]) AS x
+      FROM b WHERE NOT base_failed),
+r1 AS (SELECT lang, source, x.measure AS measure, x.cell AS cell, row_number() OVER (PARTITION BY lang, source, x.measure ORDER BY x.cell) AS k, count(*) OVER (PARTITION BY lang, source, x.measure) AS n FROM c),
+r2 AS (SELECT lang, x.measure AS measure, x.cell AS cell, row_number() OVER (PARTITION BY lang, x.measure ORDER BY x.cell) AS k, count(*) OVER (PARTITION BY lang, x.measure) AS n FROM c),
+r3 AS (SELECT x.measure AS measure, x.cell AS cell, row_number() OVER (PARTITION BY x.measure ORDER BY x.cell) AS k, count(*) OVER (PARTITION BY x.measure) AS n FROM c),
+q1 AS (SELECT lang, source, measure, max(n) AS n, min(cell) FILTER (k * 2 >= n) AS mid, min(cell) FILTER (k * 4 >= n * 3) AS high FROM r1 GROUP BY lang, source, measure),
+q2 AS (SELECT lang, measure, max(n) AS n, min(cell) FILTER (k * 2 >= n) AS mid, min(cell) FILTER (k * 4 >= n * 3) AS high FROM r2 GROUP BY lang, measure),
+q3 AS (SELECT measure, max(n) AS n, min(cell) FILTER (k * 2 >= n) AS mid, min(cell) FILTER (k * 4 >= n * 3) AS high FROM r3 GROUP BY measure),
+lim AS (SELECT q1.lang, q1.source, measure, greatest(CASE WHEN q1.n >= 200 THEN q1.mid + 4 * (q1.high - q1.mid) WHEN q2.n >= 200 THEN q2.mid + 4 * (q2.high - q2.mid) ELSE q3.mid + 4 * (q3.high - q3.mid) END,
+        CASE measure WHEN 'symbols' THEN 10 WHEN 'dup_lines' THEN 40 WHEN 'repeats' THEN 20 ELSE 90 END) AS t
+        FROM q1 JOIN q2 USING (measure) JOIN q3 USING (measure) WHERE q1.lang IS NOT DISTINCT FROM q2.lang),
+t AS (SELECT lang, source, {_PICK} FROM lim GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (c0 > t0 OR c1 > t1 OR c2 > t2 OR c3 > t3) AS kept
+FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source
+"""
+
+ORACLE = {"op1_substring_dedup": OP1, "op6_ngram_jaccard": OP6, "op9_quality_rules": OP9}
