@@ -46,8 +46,8 @@ def measured(docs: DataFrame, window: int = 5) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     step = docs.withColumn("_words", F.filter(F.split(text, SPACE), lambda w: w != ""))
     step = step.withColumn("_n", F.size("_words"))
-    step = step.withColumn("_h", F.when(F.col("_n") >= window, F.transform(F.sequence(F.lit(1), F.col("_n") - (window - 1)),
-                                                                            lambda i: F.xxhash64(F.slice(F.col("_words"), i, window)))).otherwise(F.array().cast("array<long>")))
+    grams = F.transform("_words", lambda w, i: F.xxhash64(w, *[F.get(F.col("_words"), i + j) for j in range(1, window)]))
+    step = step.withColumn("_h", F.when(F.col("_n") >= window, F.slice(grams, 1, F.col("_n") - (window - 1))).otherwise(F.array().cast("array<long>")))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = step.withColumn("_lines", lines)
     covered = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _covered(_repeated_starts(F.col("_h")), window)).otherwise(0)
