@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import phrases, rules, setjoin
+from tickerloom.llm import mixing, phrases, rules, setjoin, tiling
 from tickerloom.llm.tables import documents
 
 
@@ -13,6 +13,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(docs, with_text=False).select("doc_id", "dedup.*")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(documents(spark, sf_dir), shingle=3, percent=90)
 
@@ -21,4 +29,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(documents(spark, sf_dir), carry=["doc_id"]).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_ngram_jaccard, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_mixing, op6_ngram_jaccard, op9_quality_rules)}

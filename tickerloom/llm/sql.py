@@ -17,6 +17,19 @@ o AS (SELECT e.doc_id, n, r, string_agg(w[e.p + 1], ' ' ORDER BY e.p) FILTER (WH
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM o
 """
 
+OP5 = """
+WITH RECURSIVE z AS (SELECT source, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS size FROM documents GROUP BY source),
+w AS (SELECT *, CASE WHEN size > 0 THEN pow(size, 0.7) ELSE 0.0 END AS weight FROM z),
+m AS (SELECT source, CASE WHEN size = 0 THEN 1.0 WHEN (SELECT sum(weight) FROM w) = 0 THEN 0.0
+      ELSE round((SELECT sum(size) FROM w) * weight / (SELECT sum(weight) FROM w) / size, 9) END AS mean FROM w),
+c(source, mean, k, p, cdf) AS (SELECT source, mean, 0, exp(-mean), exp(-mean) FROM m UNION ALL
+      SELECT source, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) FROM c WHERE k < CAST(floor(mean + 12 * sqrt(mean) + 20) AS INTEGER)),
+u AS (SELECT *, CAST(CAST('0x' || substr(md5('20240229|' || doc_id || '|0'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf <= u.u GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, CAST(k AS INTEGER) AS copy_no, md5('20240229|order|' || doc_id || '|' || k) AS mix_key
+FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM n)
+"""
+
 OP6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i + 1:i + 3], ' ')) AS g FROM
@@ -57,4 +70,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_
 FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE = {"op1_substring_dedup": OP1, "op6_ngram_jaccard": OP6, "op9_quality_rules": OP9}
+ORACLE = {"op1_substring_dedup": OP1, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_quality_rules": OP9}
