@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tickerloom.llm.hashing import BASES, Rolling, WordHashes, distinct_sorted, signed, window_minima
-from tickerloom.llm.tables import drop, pieces, release, written
+from tickerloom.llm.tables import pieces, release, written
 
 COPY, PHRASE, DOCUMENT = 0, 1, 2
 
@@ -216,7 +217,6 @@ def remove_repeats(docs: DataFrame, span: int = 50, phrase: int = 10, with_text:
 
     routed = (lines(copies, COPY).unionAll(lines(confirmed, PHRASE)).unionAll(lines(base, DOCUMENT))
               .repartition(n, "bucket").sortWithinPartitions("bucket", "kind"))
-    from pyspark.sql.pandas.types import to_arrow_type
     arrow_rest = to_arrow_type(rest_type)
     flat = T.StructType([T.StructField("step", T.StringType()), T.StructField("rid", T.LongType()), T.StructField("doc_id", T.LongType()),
                          T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("sha", T.StringType()),
@@ -236,5 +236,3 @@ def remove_repeats(docs: DataFrame, span: int = 50, phrase: int = 10, with_text:
     names = [F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns]
     return result.select(*names, F.struct("n_words", "n_removed", F.col("sha").alias("kept_sha256")).alias("dedup"))
 
-
-__all__ = ["drop", "located", "remove_repeats"]

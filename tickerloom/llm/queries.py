@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import mixing, phrases, rules, setjoin, tiling
+from tickerloom.llm import mixing, phrases, rules, setjoin, suffixes, tiling
 from tickerloom.llm.tables import documents
 
 
@@ -29,4 +29,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(documents(spark, sf_dir), carry=["doc_id"]).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_mixing, op6_ngram_jaccard, op9_quality_rules)}
+def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir), with_bytes=False).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_mixing, op6_ngram_jaccard, op9_quality_rules,
+                                   op10_suffix_levels)}

@@ -70,4 +70,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_
 FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE = {"op1_substring_dedup": OP1, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_quality_rules": OP9}
+OP10 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 399)) AS i, x FROM d WHERE len(x) >= 800),
+h AS MATERIALIZED (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) AS h FROM s),
+t AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 1000) AS gap FROM h SEMI JOIN t USING (h)),
+g AS (SELECT doc_id, i, sum(CASE WHEN gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+b AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, run),
+l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS gone FROM b GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(l.a), 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN l.a IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(l.a) + 1),
+           lambda k: substr(x, CAST(2 * (CASE WHEN k = 0 THEN 0 ELSE l.z[k] END) + 1 AS BIGINT),
+                            CAST(2 * ((CASE WHEN k = len(l.a) THEN len(x) // 2 ELSE l.a[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE l.z[k] END)) AS BIGINT))), '') END)) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
+
+ORACLE = {"op1_substring_dedup": OP1, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_quality_rules": OP9, "op10_suffix_levels": OP10}
