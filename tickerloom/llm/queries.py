@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import mixing, phrases, rules, setjoin, suffixes, tiling
+from tickerloom.llm import compression, language, mixing, phrases, rules, setjoin, suffixes, tiling
 from tickerloom.llm.tables import documents
 
 
@@ -13,6 +13,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(docs, with_text=False).select("doc_id", "dedup.*")
 
 
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return compression.scored(docs, compression.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -25,6 +30,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(documents(spark, sf_dir), shingle=3, percent=90)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return language.predicted(docs, language.learn(docs))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(documents(spark, sf_dir), carry=["doc_id"]).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
@@ -33,5 +43,5 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), with_bytes=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op5_mixing, op6_ngram_jaccard, op9_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_compression_quality, op3_decontamination, op5_mixing, op6_ngram_jaccard, op8_language_id, op9_quality_rules,
                                    op10_suffix_levels)}
