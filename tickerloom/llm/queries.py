@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import compression, language, mixing, phrases, rules, setjoin, suffixes, tiling
+from tickerloom.llm import compression, language, mixing, phrases, rules, setjoin, suffixes, tiling, urlfilter, warc
 from tickerloom.llm.tables import documents
 
 
@@ -22,6 +22,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
@@ -30,6 +35,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(documents(spark, sf_dir), shingle=3, percent=90)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     return language.predicted(docs, language.learn(docs))
@@ -43,5 +52,5 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), with_bytes=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_compression_quality, op3_decontamination, op5_mixing, op6_ngram_jaccard, op8_language_id, op9_quality_rules,
-                                   op10_suffix_levels)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_compression_quality, op3_decontamination, op4_warc, op5_mixing, op6_ngram_jaccard,
+                                   op7_url_filter, op8_language_id, op9_quality_rules, op10_suffix_levels)}
