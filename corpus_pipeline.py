@@ -15,7 +15,7 @@ from tickerloom.llm.tables import documents, drop, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or an adaptive one go."""
-    return rules.judged(docs).where("kept").select(*docs.columns)
+    return rules.judged(docs).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Windows of 50 words that start in a document of smaller doc_id are cut; documents that had words and have none left go."""
     cut = phrases.remove_repeats(docs).where("dedup.n_removed = 0 or dedup.n_removed < dedup.n_words")
     changed = F.col("dedup.n_removed") > 0
-    columns = [F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+    columns = [F.when(changed, F.length("_row.text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`")
                for c in docs.columns]
     return cut.select(*columns)
 

@@ -10,7 +10,7 @@ small array; copies of one document or source spread over all partitions, as the
 
 Defined results: null source is a source of its own; sources without any text, and sources missing in given
 targets, have rate 1 and 0; null doc_id counts as one id; rows that share a doc_id share their count; an
-empty table gives an empty table. Extra columns pass through (copy_no and mix_key must be free).
+empty table gives an empty table. Extra columns pass through; incoming ones named copy_no or mix_key are replaced.
 """
 
 from __future__ import annotations
@@ -58,13 +58,14 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, temperature:
           partitions: int | None = None) -> DataFrame:
     """docs, each row as often as its count says, with copy_no (from 1) and mix_key, in global random order."""
     rate = rates(docs, targets, temperature, epochs)
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    joined = docs.join(rate, F.col("source").eqNullSafe(F.col("_source")))
-    draw = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0),
-                       lambda n, i: n + F.size(F.filter(F.col("cdf"), lambda c: c <= _unit(F.lit(str(seed)), ident, i.cast("string")))))
+    carried = [c for c in docs.columns if c not in ("copy_no", "mix_key")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("source").alias("_from"))
+    joined = rows.join(rate, F.col("_from").eqNullSafe(F.col("_source")))
+    salt = F.lit(str(seed))
     one = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
-    counted = joined.withColumn("_u", _unit(F.lit(str(seed)), ident, F.lit("0"))).withColumn("_count", F.when(F.col("parts") == 1, one).otherwise(draw))
+    several = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda n, i: n + F.size(F.filter(F.col("cdf"), lambda c: c <= _unit(salt, F.col("_id"), i.cast("string")))))
+    counted = joined.withColumn("_u", _unit(salt, F.col("_id"), F.lit("0"))).withColumn("_count", F.when(F.col("parts") == 1, one).otherwise(several))
     copies = counted.where("_count > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), ident, F.col("copy_no").cast("string"))))
+    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", salt, F.lit("order"), "_id", F.col("copy_no").cast("string"))))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], "copy_no", "mix_key").repartition(n, "mix_key").sortWithinPartitions("mix_key")
+    return keyed.select("_row", "copy_no", "mix_key").repartition(n, "mix_key").sortWithinPartitions("mix_key").select("_row.*", "copy_no", "mix_key")

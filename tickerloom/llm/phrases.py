@@ -14,7 +14,7 @@ as one of smaller doc_id are all repeats; they send no windows.
 
 Defined results: null or empty text has no words; a null doc_id is never smaller or larger
 than another, so such a row stays whole and removes nothing; repeated rows of one doc_id
-don't remove each other; an empty table gives an empty table. Extra columns pass through.
+don't remove each other; an empty table gives an empty table. Extra columns of any name pass through inside _row.
 """
 
 from __future__ import annotations
@@ -188,8 +188,8 @@ def _cut(span: int, with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, span: int = 50, phrase: int = 10, with_text: bool = True) -> DataFrame:
-    """All columns of docs, text without its repeated passages (unchanged where nothing repeats), and
-    n_words, n_removed, kept_sha256 in a struct `dedup`. with_text=False leaves text null and saves its space."""
+    """_row: struct of all columns of docs, text without its repeated passages (unchanged where nothing repeats); and
+    dedup: struct of n_words, n_removed, kept_sha256. with_text=False leaves text null and saves its space."""
     if not 0 < phrase <= span:
         raise ValueError("a phrase must fit the span")
     spark = docs.sparkSession
@@ -234,5 +234,5 @@ def remove_repeats(docs: DataFrame, span: int = 50, phrase: int = 10, with_text:
     result_type = T.StructType([f for f in flat.fields if f.name in ("doc_id", "n_words", "n_removed", "sha", "text", "rest")])
     result = cut.mapInArrow(_cut(span, with_text), result_type).unionByName(streamed.where("step = 'done'").select(*result_type.names))
     names = [F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns]
-    return result.select(*names, F.struct("n_words", "n_removed", F.col("sha").alias("kept_sha256")).alias("dedup"))
+    return result.select(F.struct(*names).alias("_row"), F.struct("n_words", "n_removed", F.col("sha").alias("kept_sha256")).alias("dedup"))
 

@@ -10,7 +10,7 @@ from tickerloom.llm.tables import documents
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return phrases.remove_repeats(docs, with_text=False).select("doc_id", "dedup.*")
+    return phrases.remove_repeats(docs, with_text=False).select("_row.doc_id", "dedup.*")
 
 
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judged(documents(spark, sf_dir), carry=["doc_id"]).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
+    return rules.judged(documents(spark, sf_dir), carry=["doc_id"]).select("_row.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
 def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

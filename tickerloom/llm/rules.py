@@ -11,7 +11,7 @@ below a floor at which ordinary prose lies, so that clean groups lose nothing.
 
 Defined results: null or empty text has no words and fails the base rule; null lang or source
 is a group of its own; documents that fail the base rule don't enter the sketches.
-Repeated rows are judged alike. An empty table gives an empty table; extra columns pass through.
+Repeated rows are judged alike. An empty table gives an empty table. Extra columns of any name pass through inside _row.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def quantiles(sketch: DataFrame, keys: list[str], upper: float) -> DataFrame:
 
 def judged(docs: DataFrame, carry: list[str] | None = None, upper: float = 0.75, spread: int = 4, least: int = 200, min_words: int = 10,
            max_repeat: int = 20) -> DataFrame:
-    """docs (the columns in carry; all by default) with m (measures), base_failed, kept, and `failed` (the adaptive rules that a text breaks).
+    """_row (struct of the columns in carry; all by default), m (measures), base_failed, kept, and `failed` (the adaptive rules that a text breaks).
 
     The measures are written once; sketches and verdicts read the written table.
     """
@@ -104,5 +104,5 @@ def judged(docs: DataFrame, carry: list[str] | None = None, upper: float = 0.75,
     limits = limits.select(F.col("lang").alias("_gl"), F.col("source").alias("_gs"), *[F.greatest(pick(k), F.lit(MEASURES[k][2] // CELL)).alias(f"_t_{k}") for k in MEASURES])
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("_gl")) & F.col("source").eqNullSafe(F.col("_gs")), "left")
     broken = F.array_compact(F.array(*[F.when(_cell(k) > F.col(f"_t_{k}"), F.lit(k)) for k in MEASURES]))
-    return joined.select("_row.*", "m", "base_failed", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken).alias("failed")).withColumn(
+    return joined.select("_row", "m", "base_failed", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken).alias("failed")).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed") == 0))
