@@ -247,8 +247,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     entries = (base.mapInArrow(_prefixes(shingle, percent, order), "token long, doc_id long, n int, f1 long, p int").repartition("token")
                .groupBy("token", "f1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("p").alias("p")))
-    lists, lists_path = written(entries.withColumn("members", F.count("*").over(Window.partitionBy("token"))).where("members > 1")
-                                .select("token", "doc_id", "n", "p", "members"), "lists")
+    by_size = Window.partitionBy("token").orderBy("n")
+    fits = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    near = entries.withColumn("near", F.coalesce(fits, F.lit(False))).where("near").drop("near")  # others have no partner of a fitting size in this list
+    lists, lists_path = written(near.withColumn("members", F.count("*").over(Window.partitionBy("token"))).select("token", "doc_id", "n", "p", "members"), "lists")
     order.unpersist()
     suspects = lists.select("doc_id").distinct()
     texts, texts_path = written(base.join(suspects, "doc_id", "left_semi").distinct(), "suspects")
