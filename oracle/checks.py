@@ -69,7 +69,7 @@ check("news_override", """
          CASE WHEN o.symbol IS NULL THEN news_sentiment WHEN direction = 'bullish' THEN 'positiv' WHEN direction = 'bearish' THEN 'negativ' ELSE 'neutral' END AS news_sentiment,
          CASE WHEN o.symbol IS NOT NULL THEN 'KI' END AS news_mode, reason AS news_override_reason
   FROM (SELECT *, row_number() OVER (ORDER BY coalesce(investment_score, 0) DESC, ord) AS place FROM q_rows) r
-    LEFT JOIN q_overrides o ON o.symbol = r.symbol AND place <= 60""")
+    LEFT JOIN q_overrides o ON o.symbol = r.symbol""")
 # ---- lookups
 check("currency_map", f"SELECT symbol, listing, {co.currency('listing')} AS currency FROM q_universe")
 check("country_map", "SELECT * FROM q_country")
@@ -379,6 +379,9 @@ define("q_log", f"""
 check("portfolio_summary", f"""
   SELECT equity, cash, invested, {r('(equity / 10000 - 1) * 100', 2)} AS total_return_pct, {r('250 + coalesce((SELECT sum(stake * cur / entry_price - stake) FROM q_sold), 0)', 2)} AS realized_pnl, n_positions,
          2 * (SELECT count(*) FROM q_log) + (SELECT count(*) FROM q_sold) + (SELECT count(*) FROM q_bought) AS n_trades FROM q_day""")
+check("portfolio_next_state", f"""
+  SELECT 10000.0::DOUBLE AS start_capital, cash, {r('250 + coalesce((SELECT sum(stake * cur / entry_price - stake) FROM q_sold), 0)', 2)} AS realized_pnl, date AS last_trade_date FROM q_day""")
+check("portfolio_rerun", "SELECT symbol, stake, score_at_entry, value FROM q_marked")
 _b3 = ("bench_sp500", "bench_ndx", "bench_world")
 _mv = lambda c: f"(CASE WHEN points >= 2 THEN (arg_z.{c} / nullif(arg_a.{c}, 0) - 1) * 100 END)"
 _rb = ", ".join(f"c.{b} / (SELECT arg_min({b}, date) FROM q_curve WHERE {b} IS NOT NULL) * 10000 AS {b}" for b in _b3)

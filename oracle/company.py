@@ -123,9 +123,10 @@ def currency(x: str) -> str:
     return case_of(SUFFIX.format(x), lk.SUFFIX_CURRENCY, "'USD'")
 
 
-_country = {s: h for h, syms in lk.US_LISTED_FOREIGN.items() for s in syms.split()}
+_country = {s: f"{name}|{code}" for name, code, syms in lk.US_LISTED_FOREIGN for s in syms.split()}
+_suffix = {s: f"{name}|{code}" for s, name, code in lk.SUFFIX_COUNTRY}
 COUNTRY_PAIR = (f"(CASE WHEN upper(listing) LIKE '%-USD' THEN 'Krypto' ELSE coalesce({case_of('upper(listing)', _country)}, "
-                f"{case_of(SUFFIX.format('listing'), lk.SUFFIX_COUNTRY)}, 'USA|us') END)")
+                f"{case_of(SUFFIX.format('listing'), _suffix)}, 'USA|us') END)")
 define("q_country", f"""
   SELECT symbol, listing, split_part({COUNTRY_PAIR}, '|', 1) AS country,
          nullif(split_part({COUNTRY_PAIR}, '|', 2), '') AS cc FROM q_universe""")
@@ -146,7 +147,7 @@ define("q_headlines", """
   FROM documents, q_nsym""")
 define("q_chat", """
   SELECT 'S' || ((conv_id * 3) % n_sym) AS symbol, conv_id * 1000 + turn AS pos, text AS title, role AS link, '' AS published
-  FROM conversations, q_nsym WHERE role = 'user'""")
+  FROM conversations, q_nsym""")
 
 
 def title_net(title: str = "title") -> str:
@@ -161,7 +162,7 @@ def news_of(source: str) -> str:
   FROM (SELECT symbol, CAST(least(greatest(50 + 6 * coalesce(sum(net) FILTER (length(title) > 0), 0), 5), 95) AS INTEGER) AS news_score,
                CAST(count(*) FILTER (length(title) > 0) AS INTEGER) AS news_n,
                string_agg(link, ' ' ORDER BY rn) FILTER (rn <= 3) AS first_links
-        FROM (SELECT *, {title_net()} AS net FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos) AS rn FROM {source}) WHERE rn <= 6)
+        FROM (SELECT *, {title_net()} AS net FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos) AS rn FROM {source}))
         GROUP BY symbol)"""
 
 
@@ -189,18 +190,17 @@ define("q_earn", f"""
         FROM (SELECT 'S' || (o_custkey % n_sym) AS symbol, CAST(o_orderdate AS DATE) + 100 AS d FROM orders, q_nsym) GROUP BY symbol)""")
 define("q_themes", f"""
   SELECT 'S' || (p_partkey % n_sym) AS symbol, list_sort(list_distinct(list({case_of('p_type', fx.PART_THEMES)}))) AS tags
-  FROM part, q_nsym WHERE p_size >= 49 GROUP BY 1""")
+  FROM part, q_nsym GROUP BY 1""")
 define("q_experts", f"""
   SELECT 'S' || (c_custkey % n_sym) AS symbol, list_sort(list_distinct(list({case_of('c_mktsegment', fx.SEGMENT_SOURCES)}))) AS tags
-  FROM customer, q_nsym WHERE c_acctbal >= 9000 GROUP BY 1""")
+  FROM customer, q_nsym GROUP BY 1""")
 define("q_13f", f"""
   SELECT *, {r('100.0 * gross_value / sum(gross_value) OVER ()', 2)} AS weight_pct,
          CASE WHEN put_value > 0 AND call_value > 0 THEN 'MIXED' WHEN put_value > shares_value THEN 'SHORT_BET' ELSE 'LONG' END AS stance
   FROM (SELECT issuer, CAST(coalesce(sum(v) FILTER (f = 'N'), 0) AS BIGINT) AS shares_value,
                CAST(coalesce(sum(v) FILTER (f = 'A'), 0) AS BIGINT) AS call_value,
                CAST(coalesce(sum(v) FILTER (f = 'R'), 0) AS BIGINT) AS put_value, CAST(sum(v) AS BIGINT) AS gross_value
-        FROM (SELECT 'S' || l_suppkey AS issuer, l_returnflag AS f, CAST(round(l_extendedprice) AS BIGINT) AS v FROM lineitem
-              WHERE l_shipdate >= TIMESTAMP '2001-10-20') GROUP BY issuer)""")
+        FROM (SELECT 'S' || l_suppkey AS issuer, l_returnflag AS f, CAST(round(l_extendedprice) AS BIGINT) AS v FROM lineitem) GROUP BY issuer)""")
 define("q_overrides", """
   SELECT 'S' || (doc_id % n_sym) AS symbol, CAST(floor(avg(quality) * 130 - avg(toxic) * 40) AS INTEGER) AS score,
          CASE WHEN avg(quality) > 0.8 THEN 'bullish' WHEN avg(quality) < 0.5 THEN 'bearish' WHEN avg(quality) < 0.7 THEN 'unknown'

@@ -111,3 +111,20 @@ def test_alert_rules(spark):
     prof = spark.createDataFrame([(s, 100.0, 100.0) for s in "ABC"], "symbol string, vol_avg20 double, ref_close double")
     got = {r["symbol"]: r["alert"] for r in sb.alerts(b.withColumn("ts", F.current_date()), prof).collect()}
     assert got == {"A": "drop", "B": "volume"}
+
+
+def test_work_dir_is_refused_off_local_mode():
+    from types import SimpleNamespace
+
+    from tickerloom.session import work_dir
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        work_dir(far)
+
+
+def test_stage_tables_of_equal_last_folder(spark, tmp_path):
+    from tickerloom.plans.stages import Stages
+    got = []
+    for part in ("x", "y"):
+        got.append(Stages(spark, str(tmp_path / part / "sf")).table("t", lambda p=part: spark.createDataFrame([(p,)], "v string")))
+    assert [g.first().v for g in got] == ["x", "y"]

@@ -85,9 +85,11 @@ def test_sell_rules_in_priority_order(spark):
     import datetime as dt
     d = dt.date(2024, 1, 2)
     cases = {  # symbol: (entry, peak, price, score, phase) -> rule
-        "A": (100.0, 100.0, 78.0, 90, "down", "hard_stop"), "B": (100.0, 120.0, 108.0, 90, "down", "trailing_stop"),
+        "A": (100.0, 100.0, 77.9, 90, "down", "hard_stop"), "B": (100.0, 120.0, 107.9, 90, "down", "trailing_stop"),
         "C": (100.0, 100.0, 99.0, 90, "down", "downtrend"), "D": (100.0, 100.0, 99.0, 49, "mid_up", "score"),
-        "E": (100.0, 100.0, 99.0, 55, "mid_up", "dropped"), "F": (100.0, 100.0, 99.0, 60, "mid_up", None)}
+        "E": (100.0, 100.0, 99.0, 55, "mid_up", "dropped"), "F": (100.0, 100.0, 99.0, 60, "mid_up", None),
+        # on the limit itself the double is just short of it (78 / 100 - 1 is -0.21999...), so the next rule decides
+        "G": (100.0, 100.0, 78.0, 90, "down", "downtrend"), "H": (100.0, 120.0, 108.0, 90, "down", "downtrend")}
     pos = spark.createDataFrame([(s, s, c[0], c[1], d, 1000.0, 60) for s, c in cases.items()], POS)
     rows = [(s, i, s, c[2], c[3], c[4], "X", None) for i, (s, c) in enumerate(cases.items())]
     rows += [(f"Z{i}", 100 + i, "z", 5.0, 95, "mid_up", "X", None) for i in range(20)]

@@ -105,8 +105,10 @@ def test_projection_without_volatility_is_null(spark):
 def test_news_tokens_and_limits(spark):
     rows = [("A", i, t, "l", "") for i, t in enumerate(["Profit, profit. PROFIT", "Shares fall", "win win", "", "gain", "loss", "surge"])]
     h = spark.createDataFrame(rows, "symbol string, pos long, title string, link string, published string")
-    r = news.news_sentiment(h).first()
+    r = news.news_sentiment(h, per_symbol=6).first()
     assert (r["news_score"], r["news_n"], r["news_sentiment"]) == (56, 5, "neutral")
+    r = news.news_sentiment(h).first()  # every headline counts
+    assert (r["news_score"], r["news_n"], r["news_sentiment"]) == (62, 6, "positiv")
     assert len(r["news"]) == 3
 
 

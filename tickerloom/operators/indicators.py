@@ -20,7 +20,6 @@ YEAR = 252
 TAIL = 280  # longest look-back is 252 returns (253 rows); 222 rows for the month-old SMA200
 MIN_BASIC, MIN_ADVANCED = 30, 40
 # The slowest smoothing keeps 25/27 per bar, so bars older than this weigh below 1e-68: nothing in a double.
-MEMORY = 2048
 
 # Cloud labels and retracement labels.
 ABOVE_CLOUD, IN_CLOUD, BELOW_CLOUD = "über Wolke", "in Wolke", "unter Wolke"
@@ -268,8 +267,7 @@ def folded_features(bars: DataFrame) -> DataFrame:
     g = bars.groupBy("symbol").agg(F.sort_array(F.collect_list(bar)).alias("_bars"),
                                    F.count("*").alias("_n"), F.count("close").alias("_closes"))
     g = g.where((F.col("_n") >= MIN_BASIC) & (F.col("_closes") > 0))
-    arr, near = F.col("_bars"), F.col("_near")
-    g = g.withColumn("_near", F.slice(arr, F.greatest(F.size(arr) - MEMORY, F.lit(0)) + 1, MEMORY))
+    arr = near = F.col("_bars")
     g = g.select("symbol", "_n", folds.macd(near).alias("_macd"), folds.rsi(near).alias("_rsi"),
                  folds.atr(near).alias("_atr"), folds.ema(near, 9, 21).alias("_ema"),
                  folds.ema(near, 20)["ema20"].alias("_ema20"), folds.adx(near).alias("_adx"),

@@ -21,40 +21,40 @@ SUFFIX_CURRENCY = {
 # Minor unit -> (major currency, factor).
 SUBUNITS = {"GBp": ("GBP", 0.01), "ZAc": ("ZAR", 0.01), "ILA": ("ILS", 0.01)}
 # Exchange suffix -> country name and ISO-2 code.
-SUFFIX_COUNTRY = {
-    ".DE": "Deutschland|de", ".F": "Deutschland|de", ".BE": "Belgien|be", ".PA": "Frankreich|fr",
-    ".AS": "Niederlande|nl", ".BR": "Belgien|be", ".L": "UK|gb", ".MI": "Italien|it", ".MC": "Spanien|es",
-    ".SW": "Schweiz|ch", ".VX": "Schweiz|ch", ".ST": "Schweden|se", ".OL": "Norwegen|no",
-    ".CO": "Dänemark|dk", ".HE": "Finnland|fi", ".VI": "Österreich|at", ".WA": "Polen|pl", ".IR": "Irland|ie",
-    ".LS": "Portugal|pt", ".AT": "Griechenland|gr", ".HK": "Hongkong/China|hk", ".T": "Japan|jp",
-    ".KS": "Südkorea|kr", ".KQ": "Südkorea|kr", ".TW": "Taiwan|tw", ".TWO": "Taiwan|tw", ".NS": "Indien|in",
-    ".BO": "Indien|in", ".SA": "Brasilien|br", ".MX": "Mexiko|mx", ".JK": "Indonesien|id",
-    ".KL": "Malaysia|my", ".BK": "Thailand|th", ".SI": "Singapur|sg", ".SR": "Saudi-Arabien|sa",
-    ".JO": "Südafrika|za", ".AX": "Australien|au", ".NZ": "Neuseeland|nz", ".TO": "Kanada|ca",
-    ".V": "Kanada|ca", ".NE": "Kanada|ca", ".CN": "Kanada|ca",
-}
+SUFFIX_COUNTRY = [
+    (".DE", "Deutschland", "de"), (".F", "Deutschland", "de"), (".BE", "Belgien", "be"), (".PA", "Frankreich", "fr"),
+    (".AS", "Niederlande", "nl"), (".BR", "Belgien", "be"), (".L", "UK", "gb"), (".MI", "Italien", "it"), (".MC", "Spanien", "es"),
+    (".SW", "Schweiz", "ch"), (".VX", "Schweiz", "ch"), (".ST", "Schweden", "se"), (".OL", "Norwegen", "no"),
+    (".CO", "Dänemark", "dk"), (".HE", "Finnland", "fi"), (".VI", "Österreich", "at"), (".WA", "Polen", "pl"), (".IR", "Irland", "ie"),
+    (".LS", "Portugal", "pt"), (".AT", "Griechenland", "gr"), (".HK", "Hongkong/China", "hk"), (".T", "Japan", "jp"),
+    (".KS", "Südkorea", "kr"), (".KQ", "Südkorea", "kr"), (".TW", "Taiwan", "tw"), (".TWO", "Taiwan", "tw"), (".NS", "Indien", "in"),
+    (".BO", "Indien", "in"), (".SA", "Brasilien", "br"), (".MX", "Mexiko", "mx"), (".JK", "Indonesien", "id"),
+    (".KL", "Malaysia", "my"), (".BK", "Thailand", "th"), (".SI", "Singapur", "sg"), (".SR", "Saudi-Arabien", "sa"),
+    (".JO", "Südafrika", "za"), (".AX", "Australien", "au"), (".NZ", "Neuseeland", "nz"), (".TO", "Kanada", "ca"),
+    (".V", "Kanada", "ca"), (".NE", "Kanada", "ca"), (".CN", "Kanada", "ca"),
+]
 # US-listed foreign companies, by home country.
-US_LISTED_FOREIGN = {
-    "China|cn": "BABA PDD JD BIDU NIO LI XPEV NTES BILI TCEHY BYDDY FUTU YMM BEKE TME ZTO VNET GDS DQ TCOM MNSO TAL EDU VIPS",
-    "Taiwan|tw": "TSM UMC ASX HIMX",
-    "Indien|in": "IBN HDB INFY WIT RDY MMYT",
-    "Brasilien|br": "NU PBR ITUB BBD ABEV STNE XP GGB SBS BSBR VALE",
-    "Argentinien|ar": "MELI YPF GGAL BMA PAM",
-    "Mexiko|mx": "AMX FMX CX ASR PAC KOF",
-    "Peru|pe": "BAP",
-    "Südkorea|kr": "SHG CPNG",
-    "Singapur|sg": "SE GRAB",
-    "Vietnam|vn": "VFS",
-    "Israel|il": "ESLT MNDY WIX GLBE",
-    "Südafrika|za": "SSL GFI AU",
-    "Kasachstan|kz": "KSPI",
-    "Uruguay|uy": "DLO",
-    "Irland|ie": "CRH",
-    "Finnland|fi": "NOK",
-    "Schweden|se": "ERIC",
-    "Schweiz|ch": "STM",
-    "Kanada|ca": "GOLD FNV AEM WPM KGC TECK CCJ NXE DNN BN RY TD TRP CNQ SU SHOP GIB",
-}
+US_LISTED_FOREIGN = [
+    ("China", "cn", "BABA PDD JD BIDU NIO LI XPEV NTES BILI TCEHY BYDDY FUTU YMM BEKE TME ZTO VNET GDS DQ TCOM MNSO TAL EDU VIPS"),
+    ("Taiwan", "tw", "TSM UMC ASX HIMX"),
+    ("Indien", "in", "IBN HDB INFY WIT RDY MMYT"),
+    ("Brasilien", "br", "NU PBR ITUB BBD ABEV STNE XP GGB SBS BSBR VALE"),
+    ("Argentinien", "ar", "MELI YPF GGAL BMA PAM"),
+    ("Mexiko", "mx", "AMX FMX CX ASR PAC KOF"),
+    ("Peru", "pe", "BAP"),
+    ("Südkorea", "kr", "SHG CPNG"),
+    ("Singapur", "sg", "SE GRAB"),
+    ("Vietnam", "vn", "VFS"),
+    ("Israel", "il", "ESLT MNDY WIX GLBE"),
+    ("Südafrika", "za", "SSL GFI AU"),
+    ("Kasachstan", "kz", "KSPI"),
+    ("Uruguay", "uy", "DLO"),
+    ("Irland", "ie", "CRH"),
+    ("Finnland", "fi", "NOK"),
+    ("Schweden", "se", "ERIC"),
+    ("Schweiz", "ch", "STM"),
+    ("Kanada", "ca", "GOLD FNV AEM WPM KGC TECK CCJ NXE DNN BN RY TD TRP CNQ SU SHOP GIB"),
+]
 # The columns that hold absolute prices.
 PRICE_COLUMNS = ("price", "prev_close", "sma20", "sma50", "sma150", "sma200", "sma150_1m_ago",
                  "sma200_1m_ago", "ema9", "ema21", "high52", "low52", "high20", "low20", "atr",
@@ -70,17 +70,19 @@ def currency_of(symbol: str | Column) -> Column:
     return F.coalesce(lookup(SUFFIX_CURRENCY, exchange_suffix(symbol)), F.lit("USD"))
 
 
-def _country_pair(symbol: str | Column) -> Column:
+def _home(symbol: str | Column, part: int) -> Column:
+    """Country name (part 0) or ISO-2 code (part 1) of a listing's home."""
     s = F.upper(col(symbol))
-    foreign = {sym: home for home, syms in US_LISTED_FOREIGN.items() for sym in syms.split()}
-    return F.when(s.endswith("-USD"), F.lit("Krypto")).otherwise(
-        F.coalesce(lookup(foreign, s), lookup(SUFFIX_COUNTRY, exchange_suffix(symbol)), F.lit("USA|us")))
+    foreign = {sym: (name, code)[part] for name, code, syms in US_LISTED_FOREIGN for sym in syms.split()}
+    by_suffix = {suffix: (name, code)[part] for suffix, name, code in SUFFIX_COUNTRY}
+    coin = F.lit(("Krypto", None)[part]).cast("string")
+    return F.when(s.endswith("-USD"), coin).otherwise(
+        F.coalesce(lookup(foreign, s), lookup(by_suffix, exchange_suffix(symbol)), F.lit(("USA", "us")[part])))
 
 
 def with_country(df: DataFrame, symbol: str = "symbol") -> DataFrame:
     """Adds country and cc (ISO-2, NULL for coins)."""
-    parts = F.split(_country_pair(symbol), r"\|")
-    return df.withColumns({"country": F.get(parts, 0), "cc": F.get(parts, 1)})
+    return df.withColumns({"country": _home(symbol, 0), "cc": _home(symbol, 1)})
 
 
 def fx_rates(currencies: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -48,13 +48,15 @@ def _label(score: Column) -> Column:
 
 
 def news_sentiment(headlines: DataFrame, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE,
-                   per_symbol: int = 6, carry: int = 3) -> DataFrame:
+                   per_symbol: int | None = None, carry: int = 3) -> DataFrame:
     """symbol, news_score, news_sentiment, news_n and the first `carry` headlines.
 
-    The per-symbol headline limit is a group limit, applied before the shuffle.
+    Every headline counts; per_symbol keeps only the first ones of a symbol, as a group limit before the shuffle.
     """
     first = Window.partitionBy("symbol").orderBy("pos")
-    few = headlines.withColumn("_rn", F.row_number().over(first)).where(C("_rn") <= per_symbol)
+    few = headlines.withColumn("_rn", F.row_number().over(first))
+    if per_symbol is not None:
+        few = few.where(C("_rn") <= per_symbol)
     titled = F.length("title") > 0
     hits = title_hits(few, positive, negative)
     item = F.struct("_rn", "title", "link", "published")
@@ -83,9 +85,10 @@ def market_sentiment(headlines: DataFrame, positive: Sequence[str] = POSITIVE, n
 DIRECTIONS = {"bullish": "positiv", "bearish": "negativ", "neutral": "neutral"}
 
 
-def apply_override(rows: DataFrame, overrides: DataFrame, top: int = 60, order_by: str = "investment_score") -> DataFrame:
-    """Replaces score and sentiment for the `top` rows by score where an override exists."""
-    chosen = (rows.orderBy(F.coalesce(C(order_by), num(0)).desc(), "ord").limit(top).select("symbol")
+def apply_override(rows: DataFrame, overrides: DataFrame, top: int | None = None, order_by: str = "investment_score") -> DataFrame:
+    """Replaces score and sentiment where an override exists; top restricts this to the best rows by score."""
+    best = rows if top is None else rows.orderBy(F.coalesce(C(order_by), num(0)).desc(), "ord").limit(top)
+    chosen = (best.select("symbol")
               .join(overrides, "symbol")
               .select("symbol", clamp(F.coalesce(C("score"), F.lit(50)), 0, 100).cast("int").alias("_s"),
                       F.coalesce(lookup(DIRECTIONS, C("direction")), F.lit("neutral")).alias("_d"),

@@ -123,6 +123,12 @@ def buys(marked: DataFrame, sold: DataFrame, rows: DataFrame, account: DataFrame
                     C("_s").alias("raw_stake"), C("elo_score").alias("score_at_entry"), C("_i").alias("buy_rank")))
 
 
+def of_day(df: DataFrame, account: DataFrame) -> DataFrame:
+    """Rows of df, none when the account already traded today: a second revision of a day changes nothing."""
+    open_day = account.where(~yes(C("last_trade_date") == C("today"))).select(F.lit(1).alias("_day"))  # one row or none
+    return df.crossJoin(open_day).drop("_day")
+
+
 def trades(sold: DataFrame, bought: DataFrame, account: DataFrame) -> DataFrame:
     """Trade log rows of the day; none when the account already traded on that date."""
     day = account.where(~yes(C("last_trade_date") == C("today"))).select(C("today").alias("date"))
@@ -141,6 +147,7 @@ def trades(sold: DataFrame, bought: DataFrame, account: DataFrame) -> DataFrame:
 
 def next_positions(marked: DataFrame, sold: DataFrame, bought: DataFrame, account: DataFrame) -> DataFrame:
     """Open positions after the revision."""
+    sold, bought = of_day(sold, account), of_day(bought, account)
     kept = marked.join(sold.select("symbol"), "symbol", "left_anti")
     new = bought.crossJoin(account.select("today")).select(
         "symbol", "name", "entry_price", C("today").alias("entry_date"), "stake", "score_at_entry",
@@ -152,6 +159,7 @@ def next_positions(marked: DataFrame, sold: DataFrame, bought: DataFrame, accoun
 def snapshot(after: DataFrame, sold: DataFrame, bought: DataFrame, account: DataFrame,
              macro: DataFrame) -> DataFrame:
     """One equity_curve row for the day, with the benchmark levels."""
+    sold, bought = of_day(sold, account), of_day(bought, account)
     total = lambda df, c, n: df.agg(F.coalesce(F.sum(c), num(0)).alias(n))
     b = (account.crossJoin(total(sold, "raw_value", "_in")).crossJoin(total(bought, "raw_stake", "_out"))
          .crossJoin(after.agg(F.coalesce(F.sum("value"), num(0)).alias("_inv"), F.count("*").alias("n_positions")))
@@ -165,9 +173,20 @@ def snapshot(after: DataFrame, sold: DataFrame, bought: DataFrame, account: Data
 
 def totals(curve_row: DataFrame, sold: DataFrame, log: DataFrame, account: DataFrame) -> DataFrame:
     """Total return, realised pnl and counts after the revision."""
+    sold = of_day(sold, account)
     n = log.agg(F.count("*").alias("n_trades"))
     pnl = sold.agg(F.coalesce(F.sum("raw_pnl"), num(0)).alias("_pnl"))
     return (curve_row.crossJoin(account.select("start_capital", "realized_pnl")).crossJoin(pnl).crossJoin(n)
             .select("equity", "cash", "invested",
                     rnd((div("equity", "start_capital") - num(1)) * num(100), 2).alias("total_return_pct"),
                     rnd(C("realized_pnl") + C("_pnl"), 2).alias("realized_pnl"), "n_positions", "n_trades"))
+
+
+def next_account(sold: DataFrame, bought: DataFrame, account: DataFrame) -> DataFrame:
+    """The account that the next day's revision reads; unchanged by a second revision of a day."""
+    s, b = of_day(sold, account), of_day(bought, account)
+    cash = b.agg(F.coalesce(F.sum("raw_stake"), num(0)).alias("_out"))
+    got = s.agg(F.coalesce(F.sum("raw_value"), num(0)).alias("_in"), F.coalesce(F.sum("raw_pnl"), num(0)).alias("_pnl"))
+    return account.crossJoin(got).crossJoin(cash).select(
+        "start_capital", rnd(C("cash") + C("_in") - C("_out"), 2).alias("cash"),
+        rnd(C("realized_pnl") + C("_pnl"), 2).alias("realized_pnl"), C("today").alias("last_trade_date"))

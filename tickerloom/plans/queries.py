@@ -515,6 +515,21 @@ def portfolio_summary(st: Stages) -> DataFrame:
     return portfolio.totals(b.row, b.sold, log, b.account)
 
 
+@query
+def portfolio_next_state(st: Stages) -> DataFrame:
+    """The account after the day's revision."""
+    b = Book(st)
+    return portfolio.next_account(b.sold, b.bought, b.account)
+
+
+@query
+def portfolio_rerun(st: Stages) -> DataFrame:
+    """A second revision of the same day leaves the positions as they are."""
+    b = Book(st)
+    again = b.account.withColumn("last_trade_date", C("today"))
+    return portfolio.next_positions(b.marked, b.sold, b.bought, again).select("symbol", "stake", "score_at_entry", "value")
+
+
 @query
 def equity_vs_benchmark(st: Stages) -> DataFrame:
     return reports.equity_vs_benchmark(fx.equity_curve(st.spark, st.sf_dir, st.bars()), fx.AS_OF, 365)

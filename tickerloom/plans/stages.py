@@ -7,6 +7,7 @@ executors. Tables live in the shared folder of the session, one set per applicat
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ class Stages:
         app = self.spark.sparkContext.applicationId
         key = (app, self.sf_dir, name)
         if key not in self._written:
-            scale = self.sf_dir.rstrip("/").rsplit("/", 1)[-1]
+            scale = hashlib.md5(self.sf_dir.rstrip("/").encode()).hexdigest()  # two inputs may end in the same folder name
             path = f"{work_dir(self.spark).rstrip('/')}/tickerloom/{app}/{scale}/{name}"
             build().write.mode("overwrite").parquet(path)
             self._written[key] = path

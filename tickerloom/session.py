@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,14 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for written tables and stream checkpoints.
 
     The cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests, local runs) a temporary folder is made.
+    (tests, local runs) a temporary folder is made. Off local mode that would be another
+    disk on every node, so it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all nodes share (master {master})")
         named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", named)
     return named

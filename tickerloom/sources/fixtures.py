@@ -251,7 +251,7 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for the headlines of the previous full run."""
     c = table(spark, sf_dir, "conversations").crossJoin(_symbol_count(spark, sf_dir))
-    return c.where("role = 'user'").select(
+    return c.select(
         _symbol((F.col("conv_id") * 3) % F.col("n_sym")).alias("symbol"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("title"),
         F.col("role").alias("link"), F.lit("").alias("published"))
@@ -319,7 +319,7 @@ def fx_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_size >= 49").crossJoin(_symbol_count(spark, sf_dir))
+    p = table(spark, sf_dir, "part").crossJoin(_symbol_count(spark, sf_dir))
     from tickerloom.functions.core import lookup
     return p.groupBy(_symbol(F.col("p_partkey") % F.col("n_sym")).alias("symbol")).agg(
         F.array_sort(F.collect_set(lookup(PART_THEMES, F.col("p_type")))).alias("tags"))
@@ -327,14 +327,14 @@ def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expert_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickerloom.functions.core import lookup
-    c = table(spark, sf_dir, "customer").where("c_acctbal >= 9000").crossJoin(_symbol_count(spark, sf_dir))
+    c = table(spark, sf_dir, "customer").crossJoin(_symbol_count(spark, sf_dir))
     return c.groupBy(_symbol(F.col("c_custkey") % F.col("n_sym")).alias("symbol")).agg(
         F.array_sort(F.collect_set(lookup(SEGMENT_SOURCES, F.col("c_mktsegment")))).alias("tags"))
 
 
 def holdings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarter-end report lines: issuer, put_call (NULL = shares), value."""
-    li = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp'2001-10-20'")
+    li = table(spark, sf_dir, "lineitem")
     pc = F.when(F.col("l_returnflag") == "R", "Put").when(F.col("l_returnflag") == "A", "Call")
     return li.select(_symbol(F.col("l_suppkey")).alias("issuer"), pc.alias("put_call"),
                      F.round("l_extendedprice").cast("long").alias("value"))
