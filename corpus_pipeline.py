@@ -1,23 +1,44 @@
 """Documents to a training mix: quality rules, near duplicates, repeated passages, benchmark leaks, source weights.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes every stage as
-Parquet in the shared folder and reads it again as the next one's docs.
+Parquet in the shared folder and reads it again as the next one's docs. A stage therefore starts by removing the tables
+that its predecessor's operator left, so the shared folder never holds those of two stages.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import mixing, phrases, rules, setjoin, tiling
+from tickerloom.llm import mixing, phrases, rules, setjoin, tables, tiling
 from tickerloom.llm.tables import documents, drop, written
 
+_left: list[str] = []
+
+
+def _stage(apply: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(apply)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, *_left)
+        _left.clear()
+        start = len(tables.CREATED)
+        out = apply(spark, docs, sf_dir)
+        _left.extend(tables.CREATED[start:])
+        return out
+
+    return run_stage
+
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or an adaptive one go."""
     return rules.judged(docs).where("kept").select("_row.*")
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 the document with the smallest doc_id stays; rows without doc_id stay."""
     groups = setjoin.near_duplicates(docs, shingle=5, percent=80)
@@ -25,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 50 words that start in a document of smaller doc_id are cut; documents that had words and have none left go."""
     cut = phrases.remove_repeats(docs).where("dedup.n_removed = 0 or dedup.n_removed < dedup.n_words")
@@ -34,12 +56,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut.select(*columns)
 
 
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
     leaked = tiling.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeated or thinned to their target weights, in global random order."""
     return mixing.mixed(docs)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tickerloom.session import work_dir
 
 
+CREATED: list[str] = []  # paths of the tables written in this application, in order
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; nothing is created yet."""
     return f"{work_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
@@ -23,6 +26,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """
     spark, path = df.sparkSession, folder(df.sparkSession, name)
     schema = df.schema
+    CREATED.append(path)
     df.write.parquet(path, partitionBy=partition_by)
     del df
     release(spark)
