@@ -59,15 +59,13 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     return known.select("page_id", url_key(F.col("url")).alias("urlkey"), "stamp", F.concat(head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000, megabytes: int = 16) -> None:
-    """One gzip archive for each piece of about so many MB, its records sorted by URL key and timestamp."""
-    spark = pages.sparkSession
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    n = max(1, -(-total // (megabytes << 20)))
-    runs = records(pages, least).repartition(n, F.xxhash64("page_id", "urlkey")).sortWithinPartitions("urlkey", "stamp", "page_id")
-    runs.select("value").write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
-    del runs
-    release(spark)
+def write_archives(pages: DataFrame, path: str, least: int = 1000, records_per_archive: int = 5000) -> None:
+    """Gzip archives of at most so many records, each sorted by URL key and timestamp. Pages are dealt as their digests' join left them."""
+    runs = records(pages, least).sortWithinPartitions("urlkey", "stamp", "page_id")
+    writer = runs.select("value").write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive)
+    writer.text(path)
+    del runs, writer
+    release(pages.sparkSession)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
