@@ -120,15 +120,16 @@ def valuation(df: DataFrame) -> DataFrame:
 def magic_formula(fundamentals: DataFrame) -> DataFrame:
     """symbol, magic_score: earnings-yield rank plus return-on-assets rank, best = 100.
 
-    Ties follow `ord`, the input order.
+    Ties follow `ord`, the input order. The sum of the two ranks is ranked as a share of its largest
+    possible value, so that it fills the bins of exact_rank alike however many companies there are.
     """
     f = fundamentals.select("symbol", "ord", F.when(C("enterprise_value") > 0, div("ebitda", "enterprise_value"))
                             .alias("ey"), "roa")
-    ey = exact_rank(f.select("symbol", "ord", "ey"), "ey", "ord", "ey_rank", descending=True, scale=0.1)
-    roa = exact_rank(f.select("ord", "roa"), "roa", "ord", "roa_rank", descending=True, scale=0.1)
+    ey = exact_rank(f.select("symbol", "ord", "ey"), "ey", "ord", "ey_rank", total="ey_n", descending=True, scale=0.1)
+    roa = exact_rank(f.select("ord", "roa"), "roa", "ord", "roa_rank", total="roa_n", descending=True, scale=0.1)
     both = ey.join(roa, "ord").where("ey_rank is not null and roa_rank is not null").select(
-        "symbol", "ord", (C("ey_rank") + C("roa_rank")).alias("rank_sum"))
-    out = exact_rank(both, "rank_sum", "ord", "i", total="n", scale=1000.0)
+        "symbol", "ord", div(C("ey_rank") + C("roa_rank"), C("ey_n") + C("roa_n")).alias("rank_share"))
+    out = exact_rank(both, "rank_share", "ord", "i", total="n", scale=0.5)
     return out.select("symbol", rnd(div(num(100) * (C("n") - C("i") + 1), C("n")), 1).alias("magic_score"))
 
 

@@ -117,10 +117,9 @@ def fx_convert(df: DataFrame, rates: DataFrame, price_columns: Sequence[str] = P
 
 def search(df: DataFrame, query: str, columns: Sequence[str], array_columns: Sequence[str] = (),
            order_by: str = "elo_score", limit: int | None = 40) -> DataFrame:
-    """Case-insensitive substring search over the concatenated columns, best score first."""
+    """Case-insensitive substring search over the concatenated columns, best score first; limit=None returns every hit."""
     hay = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns],
                       *[F.coalesce(F.array_join(F.col(c), " "), F.lit("")) for c in array_columns])
     hits = df.where(F.contains(F.lower(hay), F.lit(query.strip().lower())))
-    if limit is None:
-        return hits
-    return hits.orderBy(F.coalesce(F.col(order_by), F.lit(0)).desc(), "ord").limit(limit)
+    ordered = hits.orderBy(F.coalesce(F.col(order_by), F.lit(0)).desc(), "ord")
+    return ordered if limit is None else ordered.limit(limit)

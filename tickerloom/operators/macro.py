@@ -44,8 +44,8 @@ def trend(last: Column, prior: Column, threshold: float) -> Column:
 
 
 def context(quotes: DataFrame, as_of: date, events: Sequence[str] = FOMC_DAYS) -> DataFrame:
-    """One row: levels, directions, risk regime, rate direction and the next event date."""
-    p = last_and_prior(quotes).groupBy().agg(*[
+    """One row: levels, directions, risk regime, rate direction and the next event date, from quotes up to `as_of`."""
+    p = last_and_prior(quotes.where(C("d") <= F.lit(as_of.isoformat()).cast("date"))).groupBy().agg(*[
         F.max(F.when(C("series") == s, C(c))).alias(s if c == "last" else f"{s}_prev")
         for s in SERIES for c in ("last", "prior")])
     percent = lambda c: F.when(C(c) > 20, rnd(C(c) / num(10), 2)).otherwise(rnd(c, 2))

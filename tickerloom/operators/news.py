@@ -11,22 +11,28 @@ from tickerloom.functions.core import clamp, div, lookup, num, rnd
 
 C = F.col
 
-# Sentiment word lists (EN + DE).
-POSITIVE = ("beat beats surge surges jump jumps soar soars rally rallies upgrade upgraded raise raised record strong "
-            "growth profit profits wins win deal approval approved breakthrough outperform bullish gain gains rebound "
-            "expand expansion buyback tops top boost boosts optimistic steigt steigen gewinnt rekord stark starkes "
-            "wächst wachstum gewinn übernahme hochgestuft erholung durchbruch dividende kaufen").split()
-NEGATIVE = ("miss misses plunge plunges drop drops fall falls slump cut cuts downgrade downgraded warning warns lawsuit "
-            "probe investigation recall layoff layoffs loss losses weak bankruptcy fraud decline declines slash halt "
-            "delay delays bearish sinks tumble tumbles plummet slips concern concerns fear fears fällt fallen sinkt "
-            "verlust warnung klage ermittlung rückruf entlassungen schwach insolvenz betrug gewinnwarnung abgestuft "
-            "einbruch stürzt verkaufen").split()
+# Sentiment word lists (EN + DE). The phrase "beat estimates" is a member that no single word can match.
+POSITIVE = (
+    "beat", "beats", "beat estimates", "surge", "surges", "jump", "jumps", "soar", "soars", "rally", "rallies", "upgrade",
+    "upgraded", "raise", "raised", "record", "strong", "growth", "profit", "profits", "wins", "win", "deal", "approval",
+    "approved", "breakthrough", "outperform", "bullish", "gain", "gains", "rebound", "expand", "expansion", "buyback", "tops",
+    "top", "boost", "boosts", "optimistic", "steigt", "steigen", "gewinnt", "rekord", "stark", "starkes", "wächst", "wachstum",
+    "gewinn", "übernahme", "hochgestuft", "erholung", "durchbruch", "dividende", "kaufen",
+)
+NEGATIVE = (
+    "miss", "misses", "plunge", "plunges", "drop", "drops", "fall", "falls", "slump", "cut", "cuts", "downgrade", "downgraded",
+    "warning", "warns", "lawsuit", "probe", "investigation", "recall", "layoff", "layoffs", "loss", "losses", "weak",
+    "bankruptcy", "fraud", "decline", "declines", "slash", "halt", "delay", "delays", "bearish", "sinks", "tumble", "tumbles",
+    "plummet", "slips", "concern", "concerns", "fear", "fears", "fällt", "fallen", "sinkt", "verlust", "warnung", "klage",
+    "ermittlung", "rückruf", "entlassungen", "schwach", "insolvenz", "betrug", "gewinnwarnung", "abgestuft", "einbruch",
+    "stürzt", "verkaufen",
+)
 
 
 def tokens(title: str | Column) -> Column:
-    """Distinct lower-case words; comma and full stop separate words."""
+    """Distinct lower-case words; comma, full stop and any Unicode white space (no-break spaces too) separate words."""
     c = C(title) if isinstance(title, str) else title
-    words = F.split(F.translate(F.lower(c), ",.", "  "), r"\s+")
+    words = F.split(F.translate(F.lower(c), ",.", "  "), r"[\s\x1C-\x1F\x85\p{Z}]+")
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 

@@ -1,8 +1,8 @@
 """The full screen: bars and side tables in, one wide row per symbol out.
 
 Order matters: G1/G2 scores see raw features, everything later sees 4-dp values and
-USD prices. The result is one lazy DataFrame; a query that selects a few columns
-computes only those.
+USD prices. Ranks are checkpointed while the plan is built (see functions.ranks); all else is lazy, and a
+query that selects a few columns computes only those.
 """
 
 from __future__ import annotations
@@ -71,6 +71,7 @@ def with_fundamentals(rows: DataFrame, inp: Inputs) -> DataFrame:
 
 
 def with_side_tables(rows: DataFrame, inp: Inputs) -> DataFrame:
+    rows = reports.rs_rating(rows)  # before the joins, so that its checkpoint evaluates none of them
     if inp.light and inp.previous is not None:
         r = refresh.carry_forward(rows, inp.previous)
     else:
@@ -83,7 +84,6 @@ def with_side_tables(rows: DataFrame, inp: Inputs) -> DataFrame:
             r = news.apply_override(r, inp.overrides)
         r = r.join(intraday.patterns(inp.bars30).select("symbol", "intraday_note"), "symbol", "left")
     r = news.hype_signal(r, inp.social)
-    r = reports.rs_rating(r)
     w = fundamentals.statements_wide(inp.statements).join(
         inp.fundamentals.select("symbol", "market_cap"), "symbol", "left")
     deep = fundamentals.altman(fundamentals.piotroski(w)).select("symbol", "piotroski", "piotroski_n", "altman_z")
@@ -110,6 +110,6 @@ def with_rating(rows: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def snapshot(inp: Inputs) -> DataFrame:
-    """The whole screen as one lazy plan; `plans.stages` writes the same stages as tables."""
+    """The whole screen as one plan; `plans.stages` writes the same stages as tables."""
     rows = with_side_tables(with_fundamentals(technical(inp), inp), inp)
     return with_rating(rows, macro.context(inp.macro_quotes, inp.as_of))

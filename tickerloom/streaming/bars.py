@@ -27,9 +27,17 @@ def ohlcv(ticks: DataFrame, width: str = "30 minutes", delay: str = "2 hours", o
 
 
 def mention_counts(mentions: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Rolling 24-hour mention counts per symbol, every hour."""
-    g = mentions.withWatermark("ts", delay).groupBy("symbol", F.window("ts", "24 hours", "1 hour").alias("w"))
-    return g.count().select("symbol", C("w.start").alias("start"), C("count").alias("mentions"))
+    """Mentions per symbol and hour: one state row for each, whatever the windows built from them."""
+    g = mentions.withWatermark("ts", delay).groupBy("symbol", F.window("ts", "1 hour").alias("w"))
+    return g.count().select("symbol", C("w.start").alias("hour"), C("count").alias("mentions"))
+
+
+def rolling_mentions(hourly: DataFrame, closed: DataFrame, hours: int = 24) -> DataFrame:
+    """Batch step: mentions in every window of `hours` that starts on an hour and ends by `closed` (one row: until)."""
+    starts = F.sequence(C("hour") - F.expr(f"interval {hours - 1} hours"), C("hour"), F.expr("interval 1 hour"))
+    each = hourly.select("symbol", F.explode(starts).alias("start"), "mentions")
+    sums = each.groupBy("symbol", "start").agg(F.sum("mentions").alias("mentions")).crossJoin(closed.agg(F.max("until").alias("until")))
+    return sums.where(C("start") + F.expr(f"interval {hours} hours") <= C("until")).drop("until")
 
 
 def mention_surges(counts: DataFrame, factor: float = 1.5, minimum: int = 10) -> DataFrame:

@@ -54,7 +54,9 @@ def replay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_mention_surge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sb.mention_surges(run_to_table(sb.mention_counts(mentions(events_stream(spark, sf_dir))), "mentions"))
+    hourly = run_to_table(sb.mention_counts(mentions(events_stream(spark, sf_dir))), "mentions")
+    closed = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.max(C("ts").cast("timestamp")) - F.expr("interval 2 hours")).alias("until"))
+    return sb.mention_surges(sb.rolling_mentions(hourly, closed))
 
 
 def replay_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
