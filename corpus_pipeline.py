@@ -41,7 +41,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 the document with the smallest doc_id stays; rows without doc_id stay."""
-    groups = setjoin.near_duplicates(docs, shingle=5, percent=80)
+    groups = setjoin.near_duplicates(docs, shingle=5, percent=80, links=False)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -132,6 +132,39 @@ def test_set_join_blocks_of_long_lists(docs, rows, monkeypatch):
     assert got == brute.components(unique(rows), 3, 90)
 
 
+def linked(texts, size, percent):
+    """texts: distinct (doc_id, text) -> the (doc_id, set) nodes and which of them link."""
+    nodes = sorted({(d, frozenset(brute.shingles(t, size))) for d, t in texts if d is not None and brute.shingles(t, size)}, key=lambda n: (n[0], len(n[1]), sorted(n[1])[0]))
+    near = {n: [o for o in nodes if o != n and 100 * len(n[1] & o[1]) >= percent * len(n[1] | o[1]) and n[1] & o[1]] for n in nodes}
+    return nodes, near
+
+
+@pytest.mark.parametrize("size,percent,part", [(3, 90, 500), (5, 80, 4), (1, 60, 7)])
+def test_set_join_makes_every_link(spark, rows, monkeypatch, size, percent, part):
+    monkeypatch.setattr(setjoin, "PART", part)
+    more = rows + [(200, rows[0][1], "en", "a"), (200, rows[4][1], "en", "a"), (201, rows[4][1] + " tail", "en", "a")]  # one document with two texts
+    d = frame(spark, more)
+    nodes, near = linked({(r[0], r[1]) for r in more}, size, percent)
+    got = setjoin.near_duplicates(d, size, percent)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    want = sorted((str(i), len(s), str(None if i is None else len(near.get((i, frozenset(s)), [])))) for i, t, *_ in more for s in [brute.shingles(t, size)])
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.n_links)) for r in got.collect()) == want
+    rep = {}
+    for i, s in nodes:
+        rep[s] = min(i, rep.get(s, i))
+    pairs = {frozenset((n[1], o[1])) for n in nodes for o in near[n] if n[1] != o[1]}
+    assert len(pairs) > 20
+    assert sorted((r.a, r.b) for r in setjoin.linked_pairs(d, size, percent).collect()) == sorted(tuple(sorted(rep[x] for x in p)) for p in pairs)
+
+
+def test_intersections():
+    rng = np.random.default_rng(4)
+    base = rng.permutation(5000)[:700]
+    for m in (2, 5, 90):
+        sets = [np.unique(np.concatenate([base[rng.random(700) > 0.03 * (i % 3)], rng.integers(5000, 5000 + 40 * m, 30)])).astype(np.uint64) for i in range(m)]
+        assert (setjoin.intersections(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+
+
 def test_set_join_empty(empty):
     assert setjoin.near_duplicates(empty).count() == 0
 

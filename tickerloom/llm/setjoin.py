@@ -7,12 +7,17 @@ each class indexes the prefix in which every partner must share a shingle. Index
 into blocks by size and position; a block whose size, position or parity-bitmap bound rules
 its pairs out is skipped. Round one asks each list's best connected set (leader) about the
 others; whoever links to it takes over its answers, being in one component. Round two tests
-only pairs that still lie in different components, in all blocks, so no link is lost.
-Every link is verified on whole texts.
+only pairs that still lie in different components, in all blocks, so no component is lost.
+Linked sets are then in one component, so all links are made inside components: each pair of classes of a component is
+compared once, on whole texts, in tasks over pairs of bounded parts of the component. They send on only counts for each class,
+which is weighed by its number of documents; linked_pairs() gives the links themselves.
+
+n_links of a row: how many other (document, set) pairs link with its set, equal sets of other documents included. Where each
+doc_id has one text this is the number of linked documents.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer
 words than a shingle count as one shingle; rows that share a doc_id are one document with
-several texts; a row without doc_id gets its own n_shingles and a null component.
+several texts; a row without doc_id gets its own n_shingles and a null component and number of links.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from tickerloom.llm.tables import drop, release, written
 SLOTS, BLOCK = 1 << 21, 1 << 12  # the count sketch: 2^21 counters whatever the corpus size, sent in blocks
 BITS = 1024  # of a parity bitmap
 MEMBERS = 2000  # of a block of an index list
+PART, PART_SHINGLES = 500, 2_000_000  # classes and shingles of a part of a component
 
 
 def shingles(text: str | None, size: int, hashes: WordHashes, rolling: Rolling) -> np.ndarray:
@@ -55,9 +61,8 @@ def _describe(size: int):
             ns, f1, f2 = [], [], []
             for text in batch["text"].to_pylist():
                 s = shingles(text, size, hashes, rolling)
-                ns.append(len(s))
-                f1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                f2.append(int(mix(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+                for column, value in zip((ns, f1, f2), _fingerprint(s), strict=True):
+                    column.append(value)
                 np.add.at(counts, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
             k = len(ns)
             yield pa.RecordBatch.from_arrays([pa.array(["set"] * k, pa.string()), batch["doc_id"], pa.array(ns, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
@@ -228,8 +233,134 @@ def _verify(size: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) for every row of docs."""
+def _sparse(total: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> None:
+    """Adds, for each shingle that starts a run of `rows` in `order`, one to every pair of its rows."""
+    m = len(total)
+    for c in np.unique(counts):
+        at = starts[counts == c]
+        step = max(1, 2_000_000 // int(c * c))
+        for k in range(0, len(at), step):
+            r = rows[order[at[k:k + step, None] + np.arange(c)]]
+            total += np.bincount((r[:, :, None] * m + r[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of distinct hashes. Shingles that few sets have, or few lack, cost the square of those few."""
+    m = len(sets)
+    rows = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(token, kind="stable")
+    starts = np.cumsum(counts) - counts
+    few = m // 20
+    total = np.full((m, m), int((counts == m).sum()), np.int64)
+    rare = (counts > 1) & (counts <= few)
+    _sparse(total, order, starts[rare], counts[rare], rows)
+    others = np.flatnonzero((counts > max(1, few)) & (counts < m))
+    step = max(64, 8_000_000 // m)
+    for at in range(0, len(others), step):
+        cols = others[at:at + step]
+        has = np.zeros((len(cols), m), bool)
+        has[np.repeat(np.arange(len(cols)), counts[cols]), rows[order[np.concatenate([np.arange(a, a + c) for a, c in zip(starts[cols], counts[cols], strict=True)])]]] = True
+        most = counts[cols] >= m - few
+        if most.any():
+            col, row = np.nonzero(~has[most])
+            lacks = np.bincount(row, minlength=m)
+            total += int(most.sum()) - lacks[:, None] - lacks[None, :]
+            lost = np.bincount(col)
+            lost = lost[lost > 0]
+            _sparse(total, np.arange(len(row)), np.cumsum(lost) - lost, lost, row)
+        dense = has[~most].astype(np.float32)  # sums of at most `step` ones are exact
+        total += (dense.T @ dense).astype(np.int64)
+    np.fill_diagonal(total, [len(s) for s in sets])
+    return total
+
+
+def _named(size: int):
+    """Task function: size and fingerprint of each text's set beside the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, rolling = WordHashes(), Rolling()
+        for batch in batches:
+            keys = [_fingerprint(shingles(t, size, hashes, rolling)) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in keys], kind) for c, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))), batch["text"]], ["n", "f1", "f2", "text"])
+
+    return run
+
+
+def _fingerprint(s: np.ndarray) -> tuple[int, int, int]:
+    if not len(s):
+        return 0, 0, 0
+    return len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
+
+
+def _links(size: int, percent: int, pairs: bool):
+    """Task function over pairs of parts of components, sorted by them: the linked pairs of classes, or each class's linked documents."""
+
+    def block(key: tuple, members: dict, hashes: WordHashes, rolling: Rolling):
+        _, low, high = key
+        if len(members) < 2:
+            return None
+        names = list(members)
+        part, copies, rep = (np.array([members[k][c] for k in names], np.int64) for c in range(3))
+        sets = [shingles(members[k][3], size, hashes, rolling) for k in names]
+        n = np.array([len(s) for s in sets], np.int64)
+        common = intersections(sets)
+        ok = (common > 0) & (100 * common >= percent * (n[:, None] + n[None, :] - common))
+        np.fill_diagonal(ok, False)
+        if low != high:
+            ok &= part[:, None] != part[None, :]
+        if pairs:
+            x, y = np.nonzero(np.triu(ok))
+            return np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+        found = ok @ copies
+        at = np.flatnonzero(found)
+        return (*(np.array([names[i][c] for i in at], np.int64) for c in range(3)), found[at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, rolling, key, members = WordHashes(), Rolling(), None, {}
+        columns = ["a", "b"] if pairs else ["n", "f1", "f2", "linked"]
+
+        def out(blocks):
+            blocks = [b for b in blocks if b is not None and len(b[0])]
+            if blocks:
+                arrays = [np.concatenate(c) for c in zip(*blocks, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if c == "n" else x) for c, x in zip(columns, arrays, strict=True)], columns)
+
+        for batch in batches:
+            blocks = []
+            for comp, low, high, part, n, f1, f2, copies, rep, text in zip(*(batch[c].to_pylist() for c in _PART), strict=True):
+                if (comp, low, high) != key:
+                    if key:
+                        blocks.append(block(key, members, hashes, rolling))
+                    key, members = (comp, low, high), {}
+                members[n, f1, f2] = (part, copies, rep, text)  # equal sets come once
+            yield from out(blocks)
+        if key:
+            yield from out([block(key, members, hashes, rolling)])
+
+    return run
+
+
+_PART = ["comp", "low", "high", "part", "n", "f1", "f2", "copies", "rep", "text"]
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), n_links for every row of docs.
+
+    links=False is for who needs the components only: no n_links, and links inside a component are not all tested.
+    """
+    return _joined(docs, shingle, percent, "counts" if links else None)
+
+
+def linked_pairs(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """a, b: the links between different sets, each set given by its smallest doc_id (two sets of one document may share it), a <= b.
+
+    Documents with equal sets link too and are not listed. As many rows as there are links: the square of a group's size.
+    """
+    return _joined(docs, shingle, percent, "pairs")
+
+
+def _joined(docs: DataFrame, shingle: int, percent: int, links: str | None) -> DataFrame:
     if not 0 < percent <= 100:
         raise ValueError("percent must be in (0, 100]")
     spark = docs.sparkSession
@@ -243,7 +374,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     order = spark.sparkContext.broadcast(rank)
 
     sets = described.where("step = 'set'").select("doc_id", "n", "f1", "f2")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+    classes = (sets.where("n > 0 and doc_id is not null").distinct().groupBy("n", "f1", "f2")
+               .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    if links:
+        classes, classes_path = written(classes, "classes")
 
     entries = (base.mapInArrow(_prefixes(shingle, percent, order), "token long, doc_id long, n int, f1 long, p int").repartition("token")
                .groupBy("token", "f1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("p").alias("p")))
@@ -271,19 +405,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     part = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     one = indexed.withColumn("comp", F.col("doc_id")).withColumn("key", F.when(blocks == 1, F.col("token")).otherwise(F.xxhash64("token", part)))
     # rows that share a doc_id are linked by it; equal sets by their class
-    links, links_path = written(verified(candidates(one, False)), "links")
-    first = components(links)
+    some, some_path = written(verified(candidates(one, False)), "links")
+    first = components(some)
     tied = indexed.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     mixed = tied.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     open_lists = (tied.join(mixed, "token", "left_semi").withColumn("part", part)
                   .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
                   .withColumn("key", F.when(blocks == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")))))
     more, more_path = written(verified(candidates(open_lists, True)), "links")
-    drop(spark, indexed_path, texts_path)
+    drop(spark, indexed_path)
 
     same = sets.where("doc_id is not null and n > 0").join(classes, ["n", "f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    final = components(links.unionAll(more).unionAll(same))
-    drop(spark, links_path, more_path)
+    final = components(some.unionAll(more).unionAll(same))
+    drop(spark, some_path, more_path)
     release(spark)
-    return sets.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    rows = sets.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    if not links:
+        drop(spark, texts_path)
+        return rows.select(*columns)
+
+    owned = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    sizes = owned.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
+    parts = F.ceil(F.greatest(F.col("m") / F.lit(PART), F.col("all") / F.lit(PART_SHINGLES))).cast("int")
+    members = owned.join(sizes, "comp").select("*", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("n", "f1", "f2"), F.col("parts")).cast("int"))
+    whole = (texts.mapInArrow(_named(shingle), "n int, f1 long, f2 long, text string").join(members, ["n", "f1", "f2"])
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("comp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "f1", "f2", "copies", "rep", "text")
+             .repartition("comp", "low", "high").sortWithinPartitions("comp", "low", "high"))
+    made, _ = written(whole.mapInArrow(_links(shingle, percent, links == "pairs"), "a long, b long" if links == "pairs" else "n int, f1 long, f2 long, linked long"), "links")
+    drop(spark, texts_path)
+    if links == "pairs":
+        return made
+    linked = classes.join(made.groupBy("n", "f1", "f2").agg(F.sum("linked").alias("linked")), ["n", "f1", "f2"], "left")
+    counts, _ = written(linked.select("n", "f1", "f2", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "counts")
+    drop(spark, classes_path)
+    return rows.join(counts, ["n", "f1", "f2"], "left").select(
+        *columns, F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
