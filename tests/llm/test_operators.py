@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from tickerloom.llm import compression, language, mixing, phrases, rules, setjoin, suffixes, tiling, urlfilter, warc  # noqa: E402
+from tickerloom.llm import compression, language, mixing, phrases, rules, samples, setjoin, suffixes, tiling, urlfilter, warc  # noqa: E402
 from tickerloom.llm.components import components  # noqa: E402
 from tickerloom.llm.hashing import Rolling, WordHashes, sliding_min  # noqa: E402
 
@@ -294,6 +294,13 @@ def test_compression(spark):
     assert compression.learn(d, swapped)["weights"] == model["weights"]  # held-out labels are never read
 
 
+def test_samples_take_one_text_of_an_id(spark):
+    rows = spark.createDataFrame([(1, f"text {i}", "en") for i in range(40)] + [(1, None, "en"), (2, "two", "en"), (2, "zwei", "de")], "doc_id long, text string, lang string")
+    found = samples.texts(rows, samples.chosen(rows.select("doc_id", "lang"), "lang", 500, 200), 100)
+    first = min((hashlib.md5(f"text {i}".encode()).hexdigest(), f"text {i}") for i in range(40))[1]
+    assert sorted((r.doc_id, r.lang, r.text) for r in found) == [(1, "en", first), (2, "de", "zwei"), (2, "en", "two")]
+
+
 def test_compression_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in compression.scored(docs, compression.learn(docs, none)).collect()} == {0.5}

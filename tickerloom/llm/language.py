@@ -101,7 +101,7 @@ def train(sample: list[tuple[str, str]], epochs: int = 6, batch: int = 32, rate:
 def learn(docs: DataFrame, per_lang: int = 500, max_langs: int = 200, max_bytes: int = 65536) -> dict | None:
     """Model from the text and lang of documents that samples.held_out doesn't name."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    found = texts(docs.select("doc_id", "text"), chosen(rows, "lang", per_lang, max_langs), max_bytes)
+    found = texts(docs.select("doc_id", "lang", "text"), chosen(rows, "lang", per_lang, max_langs), max_bytes)
     return train([(r.text, r.lang) for r in sorted(found, key=lambda r: (r.lang, str(r.doc_id), r.text))])
 
 

@@ -15,7 +15,7 @@ def chosen(rows: DataFrame, label: str, per_label: int, labels: int) -> DataFram
     """doc_id and label of at most per_label rows for each of the `labels` most frequent labels. Ties go by id."""
     top = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(labels).select(label)
     order = (F.md5(F.col("doc_id").cast("string")), F.col("doc_id"))
-    ids = rows.select("doc_id", label).join(F.broadcast(top), label)  # at most `labels` rows
+    ids = rows.select("doc_id", label).distinct().join(F.broadcast(top), label)  # at most `labels` rows
     # first the best of each of 64 shares of a label, so that no task sorts a whole label
     shares = ids.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
     few = shares.withColumn("_p", F.row_number().over(Window.partitionBy(label, "_s").orderBy(*order))).where(F.col("_p") <= per_label)
@@ -23,6 +23,11 @@ def chosen(rows: DataFrame, label: str, per_label: int, labels: int) -> DataFram
 
 
 def texts(docs: DataFrame, ids: DataFrame, max_bytes: int) -> list:
-    """Rows of docs for the chosen ids, whole texts of at most max_bytes: a list bounded by ids and bytes."""
+    """For each chosen id (and label, where docs has it) one text of at most max_bytes: a list bounded by ids and bytes.
+
+    Of the rows of an id the text with the smallest md5 is taken, ties by the text, on the executors.
+    """
     usable = docs.where(F.octet_length("text") <= max_bytes)
-    return usable.join(F.broadcast(ids), "doc_id").collect()
+    found = usable.join(F.broadcast(ids), [c for c in ids.columns if c in docs.columns])
+    keys = list(dict.fromkeys(["doc_id", *ids.columns]))
+    return found.groupBy(*keys).agg(F.min(F.struct(F.md5(F.col("text").cast("binary")), "text"))["text"].alias("text")).collect()
