@@ -296,7 +296,7 @@ def test_compression(spark):
 
 def test_samples_take_one_text_of_an_id(spark):
     rows = spark.createDataFrame([(1, f"text {i}", "en") for i in range(40)] + [(1, None, "en"), (2, "two", "en"), (2, "zwei", "de")], "doc_id long, text string, lang string")
-    found = samples.texts(rows, samples.chosen(rows.select("doc_id", "lang"), "lang", 500, 200), 100)
+    found = samples.texts(rows, samples.chosen(samples.fitting(rows.selectExpr("doc_id", "lang", "octet_length(text) size"), "lang", 100), "lang", 500))
     first = min((hashlib.md5(f"text {i}".encode()).hexdigest(), f"text {i}") for i in range(40))[1]
     assert sorted((r.doc_id, r.lang, r.text) for r in found) == [(1, "en", first), (2, "de", "zwei"), (2, "en", "two")]
 
@@ -325,6 +325,12 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.predicted(d, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"words of tongue {i % 230}", f"l{i % 230:03}", "s") for i in range(1380)] + [(5000 + i, "lang " * (15000 + i), "book", "s") for i in range(12)]
+    model = language.learn(frame(spark, rows))
+    assert set(model["langs"]) == {f"l{i:03}" for i in range(230)} | {"book"}
+
+
 def test_url_rules(spark):
     urls = ["http://A.com/x", "https://example.com/en/1?q", "http://www.example.com/en/2#t", "http://b.www.example.com/en/", "http://x.net/es/1", "x.net/fr/", None, "http://x.net", "ftp://y.NET/fr/z",
             "http://notcom/", "http://com?x", "http://É.com/", "a://b://c/d"]

@@ -5,7 +5,7 @@ good one resembles good texts: its normalised difference (bad size - good size)
 ratio as second measure, is turned into a probability by a logistic calibration on labelled rows that the
 dictionaries have not seen, at the labels' own rate.
 
-The sample is bounded: per_label rows of each label, max_bytes of text each; half builds dictionaries, half
+The sample is bounded: per_label rows of each label, max_bytes of text each (of a label that has only longer texts, the shortest); half builds dictionaries, half
 calibrates. Scoring reads nothing but the text.
 
 Defined results: null text counts as empty; an empty text gets the score of the calibrated zero measures; without both
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.samples import chosen, held_out, texts
+from tickerloom.llm.samples import chosen, fitting, held_out, texts
 
 LEVEL = 3
 
@@ -80,7 +80,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_bytes:
     rows = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"), F.min("quality").alias("low")).where("label = low").drop("low")
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     rate = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    found = texts(docs.select("doc_id", "text"), chosen(rows, "label", per_label, 2), max_bytes)
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).where("size > 0").join(rows, "doc_id")
+    found = texts(docs.select("doc_id", "text").where("text <> ''"), chosen(fitting(sizes, "label", max_bytes), "label", per_label))
     sample = {c: [r.text for r in sorted((r for r in found if r.label == c), key=lambda r: (str(r.doc_id), r.text))] for c in (0, 1)}
     if not sample[0] or not sample[1]:
         return {"constant": float(rate)}

@@ -5,8 +5,8 @@ softmax give the languages' probabilities. Embeddings and layer are trained by s
 sample; a part of the sample that training never sees sets the temperature of the softmax and the score
 under which a prediction is rejected (accepted = false), so that accepted ones err as rarely as asked.
 
-The sample: at most per_lang rows of each of the max_langs most frequent languages, max_bytes of text each. The model has
-BUCKETS x DIM numbers whatever the corpus. Whole texts are read for training and prediction.
+The sample: at most per_lang rows of each language (fewer where languages are so many that it would pass max_rows), max_bytes of text
+each; of a language that has only longer texts, the shortest. The model has BUCKETS x DIM numbers and a column for each language. Whole texts are read for training and prediction.
 
 Defined results: null text and texts without a letter are `und` with score 0 and not accepted; with nothing to learn
 from, every text is `und`. Repeated rows are predicted alike.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.samples import chosen, held_out, texts
+from tickerloom.llm.samples import chosen, fitting, held_out, texts
 
 BUCKETS, DIM = 1 << 15, 8
 LETTER = re.compile(r"[^\W\d_]")
@@ -98,10 +98,12 @@ def train(sample: list[tuple[str, str]], epochs: int = 6, batch: int = 32, rate:
     return {"langs": langs, "table": ((emb @ top) / heat).astype(np.float32), "bias": (bias / heat).astype(np.float32), "reject": float(best[by[fine[-1]]]) if len(fine) else 1.0}
 
 
-def learn(docs: DataFrame, per_lang: int = 500, max_langs: int = 200, max_bytes: int = 65536) -> dict | None:
-    """Model from the text and lang of documents that samples.held_out doesn't name."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    found = texts(docs.select("doc_id", "lang", "text"), chosen(rows, "lang", per_lang, max_langs), max_bytes)
+def learn(docs: DataFrame, per_lang: int = 500, max_rows: int = 100_000, max_bytes: int = 65536) -> dict | None:
+    """Model from the text and lang of documents that samples.held_out doesn't name; every language with a letter in a text is learned."""
+    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")).select("doc_id", "lang", "text")
+    rows = fitting(usable.select("doc_id", "lang", F.octet_length("text").alias("size")), "lang", max_bytes)
+    langs = usable.select("lang").distinct().count()
+    found = texts(usable, chosen(rows, "lang", max(1, min(per_lang, max_rows // max(1, langs)))))
     return train([(r.text, r.lang) for r in sorted(found, key=lambda r: (r.lang, str(r.doc_id), r.text))])
 
 
