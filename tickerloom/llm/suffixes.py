@@ -1,8 +1,10 @@
-"""Removal of long repeated byte strings with a logarithmic family of sparse suffix arrays.
+"""Removal of long repeated byte strings with a logarithmic family of hashed minimizer indexes, in place of suffix arrays.
+
+Hashes decide throughout; bytes are never compared.
 
 Every string of `length` bytes picks one suffix inside itself (the `GRAM` bytes with the smallest hash), so
 equal strings pick equal suffixes at equal offsets. The picked suffixes of a batch of documents, sorted by
-their leading bytes, are its suffix array. A new batch is merge-scanned against the arrays of all levels:
+their first 8 bytes and a hash of GRAM bytes, are its index (called array here; it is not in suffix order). A new batch is merge-scanned against the arrays of all levels:
 suffixes whose first GRAM bytes occur twice are long-match candidates. Then arrays of equal level merge, so n
 batches leave at most log2(n) arrays and each suffix is rewritten log2(n) times at most.
 
