@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickerloom.llm import compression, language, mixing, phrases, rules, setjoin, suffixes, tiling, urlfilter, warc
+from tickerloom.llm import compression, language, merkle, mixing, periods, phrases, rules, setjoin, suffixes, tiling, tries, urlfilter, warc
 from tickerloom.llm.tables import documents
 
 
@@ -53,5 +56,39 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), with_bytes=False).drop("kept")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return tries.deduplicated(docs, carry=["doc_id"]).select("_row.doc_id", "owner.*")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = merkle.manifest(documents(spark, sf_dir), fields=["doc_id", "source", "lang", "n_chars", "text"], group="source", id="doc_id",
+                           changed={"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))}, when=even & F.col("text").contains("\n"), with_proofs=False)
+    return rows.withColumnRenamed("id", "doc_id").drop("proof")
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with the repeats that the query asks for: from word a on, the p words from a over and over."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = periods.periodic_runs(docs, least=6, exponent=4, carry=["doc_id"], with_text=False, rewrite=planted).select("_row.doc_id", "runs.*")
+    longest = F.array_min(F.transform("found", lambda r: F.struct((-r.length).alias("length"), r.start.alias("start"), r.period.alias("period"))))
+    listed = F.array_join(F.transform("found", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    best = found.withColumn("best", longest)
+    return best.select("doc_id", F.size("found").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.length")).alias("length"), F.col("best.period").alias("period"),
+                       F.floor(-1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_compression_quality, op3_decontamination, op4_warc, op5_mixing, op6_ngram_jaccard,
-                                   op7_url_filter, op8_language_id, op9_quality_rules, op10_suffix_levels)}
+                                   op7_url_filter, op8_language_id, op9_quality_rules, op10_suffix_levels,
+                                   op11_exact_dedup, op12_merkle_manifest, op13_periodic_runs)}

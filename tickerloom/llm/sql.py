@@ -97,5 +97,91 @@ SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0)
 FROM d LEFT JOIN l USING (doc_id)
 """
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, CAST(count(*) OVER (PARTITION BY h) AS BIGINT) AS group_size, doc_id = first_value(doc_id) OVER g AS kept, h AS text_sha256
+FROM d WINDOW g AS (PARTITION BY h ORDER BY points DESC, doc_id)
+"""
+
+_HEIGHT, _TOP_HEIGHT = 14, 8  # levels written out: up to 3 ** 14 rows a source, 3 ** 8 sources
+
+
+def _tree(rows: str, levels: int, name: str) -> str:
+    """Common table expressions name0..name<levels> (g, i, n, h, a, b): level by level the nodes, with the digests before and after each in its run."""
+    out = []
+    for k in range(levels + 1):
+        given = rows if k == 0 else f"SELECT g, i // 3 AS i, any_value((n + 2) // 3) AS n, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k - 1} WHERE n > 1 GROUP BY g, i // 3"
+        side = lambda frame: f"coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 3 ORDER BY i ROWS BETWEEN {frame}), '')"
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT *, CASE WHEN n > 1 THEN {side('2 PRECEDING AND 1 PRECEDING')} ELSE '' END AS a, "
+                   f"CASE WHEN n > 1 THEN {side('1 FOLLOWING AND 2 FOLLOWING')} ELSE '' END AS b FROM ({given}))")
+    return ",\n".join(out)
+
+
+def _folded(rows: str, levels: int, tree: str, name: str) -> str:
+    """name0..name<levels> (doc_id, g, i, x, proof): rows folded upwards with the digests beside them."""
+    out = [f"{name}0 AS ({rows})"]
+    for k in range(levels):
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT doc_id, g, CASE WHEN n > 1 THEN i // 3 ELSE i END AS i, CASE WHEN n > 1 THEN sha256(a || x || b) ELSE x END AS x, "
+                   f"CASE WHEN n > 1 THEN proof || a || b ELSE proof END AS proof FROM {name}{k} JOIN (SELECT g, i, n, a, b FROM {tree}{k} UNION ALL "
+                   f"SELECT g, 0, 1, '', '' FROM {tree}top WHERE level < {k}) USING (g, i))")
+    return ",\n".join(out)
+
+
+def _field(c: str, text: bool) -> str:
+    return f"coalesce({'octet_length(encode(' + c + '))' if text else f'length(CAST({c} AS VARCHAR))'} || ':' || {c}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c, c not in ("doc_id", "n_chars")) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tops(tree: str, levels: int) -> str:
+    return f"{tree}top AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT g, {k} AS level, h FROM {tree}{k} WHERE n = 1" for k in range(levels + 1)) + ")"
+
+
+def _merkle(crc_even: str) -> str:
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce('s' || source, 'n') AS g, {_leaf('text')} AS leaf,
+      CASE WHEN {crc_even} THEN {_leaf("replace(text, chr(10), '')")} END AS other FROM documents),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree('SELECT g, i, n, leaf AS h FROM l', _HEIGHT, 's')},
+{_tops('s', _HEIGHT)},
+u AS MATERIALIZED (SELECT g AS member, h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM stop),
+{_tree("SELECT 't' AS g, i, n, h FROM u", _TOP_HEIGHT, 't')},
+{_tops('t', _TOP_HEIGHT)},
+{_folded("SELECT doc_id, g, i, coalesce(other, leaf) AS x, '' AS proof FROM l", _HEIGHT, 's', 'f')},
+{_folded(f"SELECT f.doc_id, 't' AS g, u.i, f.x, f.proof FROM f{_HEIGHT} f JOIN u ON u.member = f.g", _TOP_HEIGHT, 't', 'e')}
+SELECT l.doc_id, l.leaf, stop.h AS subroot, ttop.h AS root, sha256(e.proof) AS proof_sha256, e.x AS folded_root, e.x = ttop.h AS verified
+FROM l JOIN stop USING (g) CROSS JOIN ttop JOIN e{_TOP_HEIGHT} e ON e.doc_id IS NOT DISTINCT FROM l.doc_id
+"""
+
+
+#: CRC-32 of the decimal doc_id, bit by bit (the SQL engine has no function for it)
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+
+OP12 = _merkle(f"{CRC} % 2 = 0")
+
+OP13 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS v, {CRC} AS h FROM documents),
+k AS (SELECT *, len(v) AS n, CASE WHEN h % 10 = 0 AND len(v) > 0 THEN (h // 10) % len(v) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM k),
+t AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN v ELSE list_concat(v[:a], list_transform(range(0, n - a), lambda i: v[a + i % p + 1])) END AS w FROM p),
+f AS MATERIALIZED (SELECT doc_id, n, i, hash(w[i + 1:i + 5]) AS g FROM (SELECT doc_id, n, w, unnest(range(0, n - 4)) AS i FROM t WHERE n >= 5)),
+e AS MATERIALIZED (SELECT x.doc_id, x.i, y.i - x.i AS q FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM s GROUP BY doc_id, q, island),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM m WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+      arg_min({{'s': start, 'l': length, 'p': period}}, (-length, start, period)) AS best FROM r GROUP BY doc_id),
+gone AS (SELECT doc_id, list(DISTINCT x) AS xs FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS x FROM r) GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS kept FROM (SELECT doc_id, w, unnest(range(0, n)) AS i FROM t) LEFT JOIN gone USING (doc_id)
+      WHERE xs IS NULL OR NOT list_contains(xs, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN o USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 #: no entry: op2, op7 and op8 are learned, op3 tiles greedily; tests hold them against brute force or held-out rows
-ORACLE = {"op1_substring_dedup": OP1, "op4_warc": OP4, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_quality_rules": OP9, "op10_suffix_levels": OP10}
+ORACLE = {"op1_substring_dedup": OP1, "op4_warc": OP4, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_quality_rules": OP9, "op10_suffix_levels": OP10,
+          "op11_exact_dedup": OP11, "op12_merkle_manifest": OP12, "op13_periodic_runs": OP13}
