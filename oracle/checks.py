@@ -398,20 +398,24 @@ check("open_positions", f"SELECT symbol, name, entry_date, CAST({mk.AS_OF} - ent
 define("q_wm", "SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM events")
 check("stream_bars30", f"SELECT symbol, ts, {', '.join(f'{r(c, 4)} AS {c}' for c in ('open', 'high', 'low', 'close'))}, volume FROM q_bars30, q_wm WHERE ts + INTERVAL 30 MINUTE <= wm")
 check("stream_dedup", "SELECT event_id, user_id, event_type, value FROM events")
+define("q_mh", "SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY user_id, h")
 define("q_mc", """
-  SELECT 'S' || user_id AS symbol, h AS start, count(*) AS mentions
-  FROM (SELECT user_id, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS h FROM events), q_wm
-  WHERE h + INTERVAL 24 HOUR <= wm GROUP BY 1, 2""")
+  SELECT 'S' || user_id AS symbol, start, sum(n) AS mentions FROM (SELECT user_id, h - to_hours(k) AS start, n FROM q_mh, range(0, 24) AS t(k))
+  WHERE start <= (SELECT wm - INTERVAL 24 HOUR FROM q_wm) GROUP BY user_id, start""")
 check("stream_mention_surge", f"""
-  SELECT c.symbol, c.start, c.mentions, b.mentions AS mentions_before, {r('(c.mentions / b.mentions::DOUBLE - 1) * 100', 0)} AS change_pct
-  FROM q_mc c JOIN q_mc b ON b.symbol = c.symbol AND b.start = c.start - INTERVAL 24 HOUR WHERE c.mentions >= 1.5 * b.mentions AND c.mentions >= 10""")
+  SELECT symbol, start, CAST(mentions AS BIGINT) AS mentions, CAST(mentions_before AS BIGINT) AS mentions_before, {r('(mentions / mentions_before::DOUBLE - 1) * 100', 0)} AS change_pct
+  FROM (SELECT symbol, start, mentions, max(mentions) OVER (PARTITION BY symbol ORDER BY start RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 24 HOUR PRECEDING) AS mentions_before FROM q_mc)
+  WHERE mentions >= 1.5 * mentions_before AND mentions >= 10""")
 check("stream_sessions", """
   SELECT symbol, start, "end", mentions FROM (SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS mentions FROM
     (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY ts) AS grp FROM (SELECT 'S' || user_id AS symbol, ts,
        CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY symbol, grp), q_wm WHERE "end" <= wm""")
-check("stream_indicators", f"SELECT symbol, {', '.join(f'{r(c, 4)} AS {c}' for c in ('macd', 'macd_signal', 'macd_hist', 'rsi'))}, psar_bull FROM q_folded")
+_RUNNING = ("macd", "macd_signal", "macd_hist", "rsi", "atr", "ema9", "ema21", "adx", "plus_di", "minus_di")
+check("stream_indicators", f"SELECT symbol, {', '.join(f'{r(c, 4)} AS {c}' for c in _RUNNING)}, supertrend_up, psar_bull FROM q_folded")
 check("stream_alerts", f"""
-  SELECT symbol, ts, rvol, ret_pct, CASE WHEN ret_pct <= -8 THEN 'drop' ELSE 'volume' END AS alert
-  FROM (SELECT symbol, ts, {r('volume / nullif(vol_avg20, 0)', 4)} AS rvol, {r('(close / nullif(sma200, 0) - 1) * 100', 4)} AS ret_pct
-        FROM q_bars JOIN (SELECT symbol, vol_avg20, sma200 FROM q_feat) USING (symbol)) WHERE ret_pct <= -8 OR rvol >= 1.8""")
+  SELECT symbol, ts, rvol, ret_5d, CASE WHEN ret_5d <= -8 THEN 'drop' ELSE 'volume' END AS alert
+  FROM (SELECT symbol, ts, {r('volume / nullif(vol_avg20, 0)', 4)} AS rvol, {r('(close / nullif(c5, 0) - 1) * 100', 4)} AS ret_5d
+        FROM (SELECT *, lag(close, 5) OVER (PARTITION BY symbol ORDER BY ts) AS c5 FROM q_bars) JOIN (SELECT symbol, vol_avg20 FROM q_feat) USING (symbol))
+  WHERE ret_5d <= -8 OR rvol >= 1.8""")
 check("stream_snapshot", f"SELECT b.symbol, ts, {r('close', 4)} AS close, listing, sector FROM q_newest b JOIN q_universe USING (symbol) WHERE rr = 1")
+check("path_flags_series", "SELECT symbol, ts, CASE WHEN i > 1 THEN up END AS supertrend_up, pc > ps AS psar_bull FROM q_fold")

@@ -1,18 +1,46 @@
-"""Recursive indicators as native array folds over one symbol's bars.
+"""Recursions that depend on their path, as native folds over an array of bars, and one step of a smoothing.
 
-A symbol has at most one bar per trading day, so the array is bounded by the
-calendar (about 25,000 entries per century). Each fold is its own column over the
-same array, so only the folds a query asks for are evaluated.
+A fold is a start state, a step and what it shows of a state, so that it can stop after any bar and go on from
+the state. A symbol has at most one bar per trading day, so the array is bounded by the calendar (about 25,000
+entries per century); flags() takes it chunk by chunk. Each fold is its own column, so only those a query asks
+for are evaluated.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tickerloom.functions.core import div, let, null, num, yes
 
 
+@dataclass(frozen=True)
+class Fold:
+    start: Column
+    step: Callable[[Column, Column], Column]
+    show: Callable[[Column], Column]
+
+    def over(self, bars: Column) -> Column:
+        return F.aggregate(bars, self.start, self.step, self.show)
+
+
+def flags(bars: Column, folds: dict[str, Fold], carried: Column) -> Column:
+    """struct<state, shown>: the folds' states after a chunk of bars that starts from `carried` (or NULL), and what they
+    show at every bar of it."""
+    start = F.struct(*[f.start.alias(k) for k, f in folds.items()])
+    nothing = F.struct(*[f.show(f.start).alias(k) for k, f in folds.items()])
+
+    def step(acc: Column, b: Column) -> Column:
+        state = F.struct(*[f.step(acc["state"][k], b).alias(k) for k, f in folds.items()])
+        return let(state, lambda s: F.struct(s.alias("state"), F.concat(
+            acc["shown"], F.array(F.struct(*[f.show(s[k]).alias(k) for k, f in folds.items()]))).alias("shown")))
+
+    return F.aggregate(bars, F.struct(F.coalesce(carried, start).alias("state"), F.slice(F.array(nothing), 1, 0).alias("shown")), step)
+
+
 def ewm_start() -> Column:
     return F.struct(null().alias("avg"), num(1).alias("w"), F.lit(0).alias("n"))
 
@@ -33,105 +61,11 @@ def ready(s: Column, min_periods: int) -> Column:
     return F.when(s["n"] >= min_periods, s["avg"])
 
 
-def _ema(span: int) -> float:
-    return 2.0 / (span + 1)
-
-
-def ema(bars: Column, *spans: int) -> Column:
-    """struct<ema9, ema21, ...> of the close."""
-    start = F.struct(*[ewm_start().alias(f"e{n}") for n in spans])
-
-    def step(s: Column, b: Column) -> Column:
-        return F.struct(*[ewm_step(s[f"e{n}"], b["close"], _ema(n), False).alias(f"e{n}") for n in spans])
-
-    return F.aggregate(bars, start, step,
-                       lambda s: F.struct(*[s[f"e{n}"]["avg"].alias(f"ema{n}") for n in spans]))
-
-
-def macd(bars: Column) -> Column:
-    """struct<macd, signal, hist, hist_prev> with 12/26/9."""
-    start = F.struct(ewm_start().alias("f"), ewm_start().alias("s"), ewm_start().alias("g"),
-                     null().alias("m"), null().alias("h"), null().alias("hp"))
-
-    def step(s: Column, b: Column) -> Column:
-        fast_slow = F.struct(ewm_step(s["f"], b["close"], _ema(12), False).alias("f"),
-                             ewm_step(s["s"], b["close"], _ema(26), False).alias("s"))
-        return let(fast_slow, lambda e: let(
-            F.struct(e.alias("e"), (e["f"]["avg"] - e["s"]["avg"]).alias("m")), lambda q: let(
-                F.struct(q.alias("q"), ewm_step(s["g"], q["m"], _ema(9), False).alias("g")),
-                lambda r: F.struct(
-                    r["q"]["e"]["f"].alias("f"), r["q"]["e"]["s"].alias("s"), r["g"].alias("g"),
-                    r["q"]["m"].alias("m"), (r["q"]["m"] - r["g"]["avg"]).alias("h"), s["h"].alias("hp")))))
-
-    return F.aggregate(bars, start, step, lambda s: F.struct(
-        s["m"].alias("macd"), s["g"]["avg"].alias("signal"), s["h"].alias("hist"), s["hp"].alias("hist_prev")))
-
-
-def rsi(bars: Column, period: int = 14) -> Column:
-    """RSI from bias-adjusted means of gains and losses; NULL when there was no loss."""
-    a = 1.0 / period
-    start = F.struct(ewm_start().alias("u"), ewm_start().alias("d"), null().alias("pc"))
-
-    def step(s: Column, b: Column) -> Column:
-        return let(b["close"] - s["pc"], lambda diff: F.struct(
-            ewm_step(s["u"], F.when(diff.isNotNull(), F.greatest(diff, num(0))), a, True).alias("u"),
-            ewm_step(s["d"], F.when(diff.isNotNull(), F.greatest(-diff, num(0))), a, True).alias("d"),
-            b["close"].alias("pc")))
-
-    return F.aggregate(bars, start, step, lambda s: num(100) - div(
-        num(100), num(1) + div(ready(s["u"], period), F.nullif(ready(s["d"], period), num(0)))))
-
-
 def _true_range(b: Column, prev_close: Column) -> Column:
     return F.greatest(b["high"] - b["low"], F.abs(b["high"] - prev_close), F.abs(b["low"] - prev_close))
 
 
-def atr(bars: Column, period: int = 14) -> Column:
-    """struct<atr (bias-adjusted), wilder> of the true range."""
-    a = 1.0 / period
-    start = F.struct(ewm_start().alias("adj"), ewm_start().alias("wil"), null().alias("pc"))
-
-    def step(s: Column, b: Column) -> Column:
-        return let(_true_range(b, s["pc"]), lambda tr: F.struct(
-            ewm_step(s["adj"], tr, a, True).alias("adj"), ewm_step(s["wil"], tr, a, False).alias("wil"),
-            b["close"].alias("pc")))
-
-    return F.aggregate(bars, start, step, lambda s: F.struct(
-        ready(s["adj"], period).alias("atr"), ready(s["wil"], period).alias("wilder")))
-
-
-def adx(bars: Column, period: int = 14) -> Column:
-    """struct<adx, plus_di, minus_di> with Wilder smoothing."""
-    a = 1.0 / period
-    start = F.struct(*[ewm_start().alias(k) for k in ("tr", "up", "dn", "dx")],
-                     null().alias("pdi"), null().alias("mdi"),
-                     null().alias("pc"), null().alias("ph"), null().alias("pl"))
-
-    def step(s: Column, b: Column) -> Column:
-        up, down = b["high"] - s["ph"], s["pl"] - b["low"]
-        moves = F.struct(
-            _true_range(b, s["pc"]).alias("tr"),
-            F.when((up > down) & (up > 0), up).otherwise(num(0)).alias("up"),
-            F.when((down > up) & (down > 0), down).otherwise(num(0)).alias("dn"))
-        smooth = let(moves, lambda m: F.struct(*[ewm_step(s[k], m[k], a, False).alias(k) for k in ("tr", "up", "dn")]))
-        return let(smooth, lambda e: let(
-            F.struct(e.alias("e"),
-                     (num(100) * div(ready(e["up"], period), ready(e["tr"], period))).alias("pdi"),
-                     (num(100) * div(ready(e["dn"], period), ready(e["tr"], period))).alias("mdi")),
-            lambda d: let(
-                F.struct(d.alias("d"), div(num(100) * F.abs(d["pdi"] - d["mdi"]),
-                                           F.nullif(d["pdi"] + d["mdi"], num(0))).alias("dx")),
-                lambda x: F.struct(
-                    x["d"]["e"]["tr"].alias("tr"), x["d"]["e"]["up"].alias("up"), x["d"]["e"]["dn"].alias("dn"),
-                    ewm_step(s["dx"], x["dx"], a, False).alias("dx"),
-                    x["d"]["pdi"].alias("pdi"), x["d"]["mdi"].alias("mdi"),
-                    b["close"].alias("pc"), b["high"].alias("ph"), b["low"].alias("pl")))))
-
-    return F.aggregate(bars, start, step, lambda s: F.struct(
-        ready(s["dx"], period).alias("adx"), s["pdi"].alias("plus_di"), s["mdi"].alias("minus_di")))
-
-
-def supertrend(bars: Column, period: int = 10, mult: float = 3.0) -> Column:
+def supertrend_fold(period: int = 10, mult: float = 3.0) -> Fold:
     """TRUE while the close holds above the trailing band; comparisons with a missing band are false."""
     start = F.struct(ewm_start().alias("tr"), null().alias("fu"), null().alias("fl"),
                      F.lit(True).alias("up"), null().alias("pc"), F.lit(0).alias("i"))
@@ -152,7 +86,11 @@ def supertrend(bars: Column, period: int = 10, mult: float = 3.0) -> Column:
                     .otherwise(s["up"]).alias("up"),
                     b["close"].alias("pc"), (s["i"] + 1).alias("i")))))
 
-    return F.aggregate(bars, start, step, lambda s: F.when(s["i"] > 1, s["up"]))
+    return Fold(start, step, lambda s: F.when(s["i"] > 1, s["up"]))
+
+
+def supertrend(bars: Column) -> Column:
+    return supertrend_fold().over(bars)
 
 
 def psar_start() -> Column:
@@ -160,7 +98,7 @@ def psar_start() -> Column:
                     null().alias("c"))
 
 
-def parabolic_sar(bars: Column, first: float = 0.02, cap: float = 0.2) -> Column:
+def sar_fold(first: float = 0.02, cap: float = 0.2) -> Fold:
     """TRUE when the last close is above the stop-and-reverse level (no two-bar clamp)."""
 
     def step(s: Column, b: Column) -> Column:
@@ -185,15 +123,8 @@ def parabolic_sar(bars: Column, first: float = 0.02, cap: float = 0.2) -> Column
         return F.when(s["ps"].isNull(), begin).otherwise(
             let(F.struct(cand.alias("cand")), moved))
 
-    return F.aggregate(bars, psar_start(), step, lambda s: s["c"] > s["ps"])
-
+    return Fold(psar_start(), step, lambda s: s["c"] > s["ps"])
 
-def max_drawdown(bars: Column) -> Column:
-    """Worst close / running-peak - 1, in percent, over the whole history."""
-    start = F.struct(null().alias("peak"), null().alias("dd"))
-
-    def step(s: Column, b: Column) -> Column:
-        return let(F.greatest(s["peak"], b["close"]), lambda p: F.struct(
-            p.alias("peak"), F.least(s["dd"], div(b["close"], p) - num(1)).alias("dd")))
 
-    return F.aggregate(bars, start, step, lambda s: s["dd"] * num(100))
+def parabolic_sar(bars: Column) -> Column:
+    return sar_fold().over(bars)

@@ -1,15 +1,10 @@
-"""Window frames and linear recursions over (symbol, ts)."""
+"""Window frames over (symbol, ts)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tickerloom.functions.core import num
-
-BLOCK = 512
-
-
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("ts")
 
@@ -31,30 +26,3 @@ def last_rows(df: DataFrame, n: int) -> DataFrame:
     """
     newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
     return df.withColumn("_rr", F.row_number().over(newest)).where(F.col("_rr") <= n).drop("_rr")
-
-
-def with_decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]]) -> DataFrame:
-    """Adds y_t = q*y_(t-1) + x_t per symbol for each name -> (x, q), without a fold.
-
-    Inside a block of rows y is a running sum of x*q^-i scaled by q^i; the previous
-    block's end value is carried over. Two blocks suffice because q^BLOCK is below
-    double precision for every smoothing used here (q <= 0.93), and q^-BLOCK stays
-    far from overflow. `df` needs `rn`, the 0-based row number per symbol.
-    """
-    block = F.floor(F.col("rn") / BLOCK)
-    pos = (F.col("rn") % BLOCK).cast("double")
-    run = Window.partitionBy("symbol", "_blk").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    prev = Window.partitionBy("symbol").orderBy("_blk").rangeBetween(-1, -1)
-    df = df.withColumns({"_blk": block, "_pos": pos, **{f"_x_{k}": x for k, (x, _) in sums.items()}})
-    df = df.withColumns({
-        f"_s_{k}": F.sum(F.coalesce(F.col(f"_x_{k}"), num(0)) * F.pow(num(q), -F.col("_pos"))).over(run)
-        * F.pow(num(q), F.col("_pos"))
-        for k, (_, q) in sums.items()
-    })
-    carried = {
-        k: F.col(f"_s_{k}") + F.pow(num(q), F.col("_pos") + 1)
-        * F.coalesce(F.max(F.struct("rn", f"_s_{k}")).over(prev)[f"_s_{k}"], num(0))
-        for k, (_, q) in sums.items()
-    }
-    out = df.withColumns(carried)
-    return out.drop("_blk", "_pos", *[f"_x_{k}" for k in sums], *[f"_s_{k}" for k in sums])

@@ -1,19 +1,21 @@
 """Point-in-time backtest of the long-term score: quintiles, rank correlation, hit rate.
 
-Indicators are computed once as a series; month ends, forward returns and ranks are
-windows and joins over that series, so no date loop re-slices history.
+Scores, returns to later closes and the span of days for which a bar is the newest one come from windows over one
+exchange by symbol; a rebalance date then takes the bar whose span holds it. No date loop re-slices history, and no join
+by date looks it up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tickerloom.functions import scans
 from tickerloom.functions.core import div, num, rnd
 from tickerloom.functions.ranks import exact_rank
-from tickerloom.functions.windows import by_symbol, with_decayed_sums
+from tickerloom.functions.windows import by_symbol
 from tickerloom.operators.scores import longterm_score
 from tickerloom.session import cut_lineage
 
@@ -28,6 +30,13 @@ def rebalance_dates(bars: DataFrame) -> DataFrame:
     return bars.groupBy(F.trunc("ts", "month").alias("month")).agg(F.max("ts").alias("rebalance"))
 
 
+def _eligible_calendar(bars: DataFrame, least: int) -> DataFrame:
+    """One row: the rebalance dates (array) of the symbols with more than `least` closes, from months, not from bars."""
+    months = bars.where("close is not null").groupBy("symbol", F.trunc("ts", "month").alias("month")).agg(F.max("ts").alias("ts"), F.count("*").alias("n"))
+    enough = months.withColumn("_n", F.sum("n").over(Window.partitionBy("symbol"))).where(C("_n") > least)
+    return rebalance_dates(enough).agg(F.sort_array(F.collect_list("rebalance")).alias("_dates"))
+
+
 def eligible(bars: DataFrame, min_hist: int = MIN_HIST, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Bars of the symbols whose history exceeds min_hist + the longest horizon."""
     every = Window.partitionBy("symbol")
@@ -35,22 +44,25 @@ def eligible(bars: DataFrame, min_hist: int = MIN_HIST, horizons: Sequence[int]
             .where(C("_n") > min_hist + max(horizons)).drop("_n"))
 
 
-def score_series(bars: DataFrame) -> DataFrame:
-    """symbol, ts, rn (0-based), close and longterm_score at every bar, from that bar's own past only."""
-    w = by_symbol()
+def score_series(bars: DataFrame, ahead: dict[str, Column] | None = None) -> DataFrame:
+    """symbol, ts, rn (0-based), close and longterm_score at every bar, from that bar's own past only.
+
+    `ahead` names further columns over the same windows (symbol in time order), such as closes to come.
+    """
+    w = scans.symbol_window()
     c = C("close")
-    b = bars.select("symbol", "ts", "close").withColumns({
-        "rn": F.row_number().over(w) - 1, "_pc": F.lag("close").over(w)})
+    ahead = ahead or {}
+    b = scans.in_order(bars.select("symbol", "ts", "close")).withColumns({"_pc": F.lag("close").over(w), **ahead})
     a12, a26, a9, r = 2 / 13, 2 / 27, 2 / 10, 1 / 14
     first = C("rn") == 0
     seed = lambda x, a: F.when(first, x).otherwise(x * num(a))
     diff = c - C("_pc")
-    b = with_decayed_sums(b, {
+    b = scans.affine_scan(b, {
         "_e12": (seed(c, a12), 1 - a12), "_e26": (seed(c, a26), 1 - a26),
         "_gain": (F.greatest(diff, num(0)), 1 - r), "_loss": (F.greatest(-diff, num(0)), 1 - r)})
     # greatest() skips NULL: the first bar adds 0 to both sums, and the shared weights cancel in gain / loss
     b = b.withColumn("macd", C("_e12") - C("_e26"))
-    b = with_decayed_sums(b, {"macd_signal": (seed(C("macd"), a9), 1 - a9)})
+    b = scans.affine_scan(b, {"macd_signal": (seed(C("macd"), a9), 1 - a9)})
     n = C("rn") + 1
     rsi = F.when(n > 14, num(100) - div(num(100), num(1) + div("_gain", F.nullif(C("_loss"), num(0)))))
     # long frames cost O(frame) per row, so means come from running sums and the yearly high from
@@ -63,47 +75,39 @@ def score_series(bars: DataFrame) -> DataFrame:
     mean = lambda m: F.when(n >= m, (C("_cum") - F.lag("_cum", m, 0.0).over(w)) / num(m))
     high = F.greatest("_head", F.lag("_tail", YEAR - 1).over(w))
     f = b.select(
-        "symbol", "ts", "rn", "close", c.alias("price"), "macd", "macd_signal", rsi.alias("rsi"),
+        "symbol", "ts", "rn", "close", *ahead, c.alias("price"), "macd", "macd_signal", rsi.alias("rsi"),
         mean(50).alias("sma50"), mean(200).alias("sma200"),
         ((div(c, high) - num(1)) * num(100)).alias("pct_from_high52"),
         F.when(n > 61, (div(c, F.lag("close", 60).over(w)) - num(1)) * num(100)).alias("ret_60d"))
-    return f.select("symbol", "ts", "rn", "close", longterm_score().alias("longterm_score"))
+    return f.select("symbol", "ts", "rn", "close", *ahead, longterm_score().alias("longterm_score"))
 
 
 def forward_returns(bars: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """symbol, ts, n_future and fwd_<h> = return in percent to the close h bars ahead (9 dp)."""
-    w = by_symbol()
-    every = Window.partitionBy("symbol")
+    return bars.select("symbol", "ts", "close", *[e.alias(k) for k, e in _ahead(by_symbol(), horizons).items()])
+
+
+def _ahead(w: WindowSpec, horizons: Sequence[int]) -> dict[str, Column]:
     fwd = {f"fwd_{h}": rnd((div(F.lead("close", h).over(w), F.nullif(C("close"), num(0))) - num(1)) * num(100), 9)
            for h in horizons}
-    return bars.select("symbol", "ts", "close", (F.count("*").over(every) - F.row_number().over(w)).alias("n_future"),
-                       *[e.alias(k) for k, e in fwd.items()])
+    return {"n_future": F.count("*").over(Window.partitionBy("symbol")) - F.row_number().over(w), **fwd}
 
 
 def scored_panel(bars: DataFrame, min_hist: int = MIN_HIST, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """One row per (rebalance date, symbol, horizon): score and forward return.
 
-    The latest bar on or before a rebalance date is the symbol's last bar of that
-    month; a month without bars reuses the previous one (gap-filled on the
-    symbol x calendar grid), so the as-of lookup needs no inequality join.
+    A bar is the newest of its symbol from its own day to the day before the next bar, so it serves the rebalance
+    dates in between: months without bars take the bar before them, and no grid of symbols and months is built.
     """
-    b = eligible(bars, min_hist, horizons)
-    s = score_series(b).join(forward_returns(b, horizons).drop("close"), ["symbol", "ts"])
-    cols = ["longterm_score", "rn", "n_future", *[f"fwd_{h}" for h in horizons]]
-    monthly = s.groupBy("symbol", F.trunc("ts", "month").alias("month")).agg(
-        F.max_by(F.struct(*cols), "ts").alias("r"))
-    cal = rebalance_dates(b)
-    # the calendar travels as one row holding one array entry per month
-    months = cal.agg(F.collect_list(F.struct("month", "rebalance")).alias("_cal"))
-    spans = monthly.groupBy("symbol").agg(F.min("month").alias("m0")).crossJoin(months)
-    grid = spans.select("symbol", F.explode(F.filter("_cal", lambda m: m["month"] >= C("m0"))).alias("m")).select(
-        "symbol", "m.month", "m.rebalance")
-    up_to = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    filled = (grid.join(monthly, ["symbol", "month"], "left").withColumn("ts", C("month"))
-              .withColumn("r", F.last("r", ignorenulls=True).over(up_to)))
-    # the row itself needs min_hist bars of history and the shortest horizon ahead
-    rows = filled.select("symbol", "rebalance", "r.*").where(
-        (C("rn") + 1 >= min_hist) & (C("n_future") >= min(horizons)))
+    least = min_hist + max(horizons)
+    calendar = _eligible_calendar(bars, least)
+    w = scans.symbol_window()
+    s = score_series(eligible(bars, min_hist, horizons), {**_ahead(w, horizons), "_next": F.lead("ts").over(w)})
+    served = F.filter("_dates", lambda d: (d >= C("ts")) & (C("_next").isNull() | (d < C("_next"))))
+    # one row of dates, one a month: a broadcast bounded by the calendar; the row itself needs min_hist bars of history
+    # and the shortest horizon ahead
+    rows = s.where((C("rn") + 1 >= min_hist) & (C("n_future") >= min(horizons))).crossJoin(calendar)
+    rows = rows.select("symbol", F.explode(served).alias("rebalance"), "longterm_score", *[f"fwd_{h}" for h in horizons])
     long = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), C(f"fwd_{h}").alias("fwd_ret"))
                                for h in horizons])).alias("x")
     # one row per symbol and month from here on; written once because it is read twice below

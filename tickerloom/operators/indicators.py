@@ -1,25 +1,27 @@
 """Technical indicators per symbol.
 
 `window_features` adds the finite-window indicators to every bar it is given (series
-shape). `latest_features` is the snapshot shape: the finite windows see only the
-newest TAIL rows of a symbol, which are cut before the shuffle, and the recursive
-indicators fold the symbol's bars natively.
+shape), `smoothed_features` the recursive ones, as prefix scans of affine maps.
+`latest_features` is the snapshot shape of both: one scan and one exchange by symbol, then one aggregate.
+`tail_features` has the finite windows alone and cuts the newest TAIL rows of a symbol before the shuffle.
+`summaries` keeps what the recursions need of a history, `advanced` takes it over newer bars.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.functions import folds
-from tickerloom.functions.core import div, finite, null, num, rnd
-from tickerloom.functions.windows import by_symbol, last_rows, rolling, trailing
+from tickerloom.functions import folds, scans
+from tickerloom.functions.core import div, finite, let, num, rnd
+from tickerloom.functions.windows import by_symbol, rolling, trailing
+from tickerloom.session import stored
 
 YEAR = 252
-TAIL = 280  # longest look-back is 252 returns (253 rows); 222 rows for the month-old SMA200
+TAIL = 280  # longest look-back of the finite windows is 252 rows; 222 for the month-old SMA200
 MIN_BASIC, MIN_ADVANCED = 30, 40
-# The slowest smoothing keeps 25/27 per bar, so bars older than this weigh below 1e-68: nothing in a double.
 
 # Cloud labels and retracement labels.
 ABOVE_CLOUD, IN_CLOUD, BELOW_CLOUD = "über Wolke", "in Wolke", "unter Wolke"
@@ -36,12 +38,21 @@ FOLDED = ("macd", "macd_signal", "macd_hist", "macd_hist_prev", "rsi", "atr", "e
 
 
 def clean_bars(bars: DataFrame) -> DataFrame:
-    """NaN -> NULL, all-NULL rows dropped, symbols without any close dropped by the row-count filters."""
+    """Typed bars without NaN, infinities and rows that hold no value at all."""
     ohlcv = ["open", "high", "low", "close", "volume"]
     return bars.select("symbol", "ts", *[finite(F.col(c).cast("double")).alias(c) for c in ohlcv]).na.drop(
         how="all", subset=ohlcv)
 
 
+def one_a_day(bars: DataFrame) -> DataFrame:
+    """Of bars with equal symbol and ts the one with the largest volume stays (ties by close, high, low, open).
+
+    The sort by symbol and time that every window needs serves this as well.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts", "volume", "close", "high", "low", "open")
+    return bars.withColumn("_next", F.lead("ts").over(w)).where("_next is null or _next <> ts").drop("_next")
+
+
 def _aroon(extreme: Column, series: Column, n: int = 25, classic: bool = False) -> Column:
     """(n - bars from the window start to the first extreme) / n * 100; `classic` counts from the newest bar."""
     span = trailing(n + 1)
@@ -104,6 +115,8 @@ def window_features(bars: DataFrame, classic_aroon: bool = False) -> DataFrame:
         "_cloud": span_a.isNotNull() & F.col("_span_b").isNotNull(),
         "_lrn": F.count(lrs).over(w.rowsBetween(Window.unboundedPreceding, 0)),
     })
+    # returns are numbered without gaps, so a look-back of n returns skips missing closes
+    returns = lambda m: Window.partitionBy("symbol").orderBy("_lrn").rangeBetween(1 - m, 0)
     rng = F.nullif(F.col("_h52") - F.col("_l52"), num(0))
     levels = F.array(*[
         F.struct(F.abs(level - c).alias("d"), F.lit(i).alias("i"), F.lit(label).alias("label"))
@@ -120,7 +133,7 @@ def window_features(bars: DataFrame, classic_aroon: bool = False) -> DataFrame:
         "high20": F.col("high20"), "low20": F.col("low20"), "high52": F.col("high52"), "low52": F.col("low52"),
         "pct_from_high52": (div(c, "high52") - num(1)) * num(100),
         "ret_5d": F.when(n > 6, back(5)), "ret_20d": F.when(n > 21, back(20)), "ret_60d": F.when(n > 61, back(60)),
-        "vol_daily": F.when(F.col("_lrn") >= 20, F.stddev_samp(lrs).over(trailing(60))),
+        "vol_daily": F.when(F.col("_lrn") >= 20, F.stddev_samp(lrs).over(returns(60))),
         "sma150": F.col("sma150"),
         "sma150_1m_ago": F.when(n >= 172, F.lag("sma150", 21).over(w)),
         "sma200_1m_ago": F.when(n >= 222, F.lag("sma200", 21).over(w)),
@@ -138,7 +151,7 @@ def window_features(bars: DataFrame, classic_aroon: bool = False) -> DataFrame:
         "ichimoku": F.when(F.col("_cloud"), F.when(c > F.col("_top"), F.lit(ABOVE_CLOUD))
                            .when(c < F.col("_bot"), F.lit(BELOW_CLOUD)).otherwise(F.lit(IN_CLOUD))),
         "tenkan_above_kijun": F.coalesce(F.col("_tenkan") > F.col("_kijun"), F.lit(False)),
-        "vol_annual_pct": F.when(F.col("_lrn") >= 30, F.stddev_samp(lrs).over(trailing(YEAR))
+        "vol_annual_pct": F.when(F.col("_lrn") >= 30, F.stddev_samp(lrs).over(returns(YEAR))
                                  * F.sqrt(num(YEAR)) * num(100)),
         "pivot": pivot, "pivot_r1": num(2) * pivot - l, "pivot_s1": num(2) * pivot - h,
         "range_pos_pct": rnd(div(c - F.col("_l52"), rng) * num(100), 1),
@@ -148,21 +161,61 @@ def window_features(bars: DataFrame, classic_aroon: bool = False) -> DataFrame:
                     *[F.when(n >= MIN_ADVANCED, e).alias(k) for k, e in advanced.items()])
 
 
+def tail_features(bars: DataFrame) -> DataFrame:
+    """Finite-window indicators of the newest bar per symbol, without the volatilities (those count returns, not rows).
+
+    The newest TAIL rows are numbered from the end (rr = 1 is the newest), so that the cut is a group limit before the shuffle.
+    """
+    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    b = (bars.withColumn("_rr", F.row_number().over(newest)).where(F.col("_rr") <= TAIL)
+         .withColumns({f"_p{x[0]}": F.lead(x, 1).over(newest) for x in ("close", "high", "low")}))
+    b = b.withColumns({"_lk": F.lit(None).cast("long"), "_lr": F.lit(None).cast("double")})
+    g, chosen = _finite(b)
+    return _enough(g.agg).select("symbol", *chosen).drop("vol_daily", "vol_annual_pct")
+
+
+def _from_the_end(bars: DataFrame) -> DataFrame:
+    """Bars in order with the bar before (_pc, _ph, _pl), place from the end (_rr), log return and its place from the end (_lk)."""
+    b = scans.in_order(one_a_day(bars))
+    w, every = scans.symbol_window(), Window.partitionBy("symbol")
+    b = b.withColumns({f"_p{x[0]}": F.lag(x, 1).over(w) for x in ("close", "high", "low")})
+    b = b.withColumn("_lr", F.ln(div("close", F.nullif(F.col("_pc"), num(0)))))
+    b = b.withColumns({"_rr": F.count("*").over(every) - F.col("rn"), "_lc": F.count("_lr").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                       "_all": F.count("_lr").over(every)})
+    return b.withColumn("_lk", F.when(F.col("_lr").isNotNull(), F.col("_all") - F.col("_lc") + 1)).drop("_lc", "_all")
+
+
+class _Grouped:
+    """Aggregates per symbol that several feature families add to before they are computed at once."""
+
+    def __init__(self, bars: DataFrame, aggs: dict[str, Column]):
+        self.bars, self.aggs = bars, aggs
+
+    @property
+    def agg(self) -> DataFrame:
+        return self.bars.groupBy("symbol").agg(*[e.alias(k) for k, e in self.aggs.items()])
+
+
+def _enough(g: DataFrame) -> DataFrame:
+    return g.where((F.col("_n") >= MIN_BASIC) & (F.col("_closes") > 0))
+
+
 def latest_window_features(bars: DataFrame) -> DataFrame:
     """Finite-window indicators of the newest bar per symbol.
 
-    The newest TAIL rows are numbered from the end (rr = 1 is the newest), then every
-    window ending at the newest bar is one conditional aggregate: a single hash
+    Every window that ends at the newest bar is one conditional aggregate: a single
     aggregation instead of sliding frames over rows nobody reads.
     """
-    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    g, chosen = _finite(_from_the_end(bars))
+    return _enough(g.agg).select("symbol", *chosen)
+
+
+def _finite(b: DataFrame) -> tuple[_Grouped, list[Column]]:
+    """Aggregates of numbered bars, and the finite-window features as columns over them."""
     c, h, l, v, rr = (F.col(x) for x in ("close", "high", "low", "volume", "_rr"))
-    b = (bars.withColumn("_rr", F.row_number().over(newest)).where(rr <= TAIL)
-         .withColumns({f"_p{x[0]}": F.lead(x, 1).over(newest) for x in ("close", "high", "low")}))
     tp, ptp = (h + l + c) / num(3), (F.col("_ph") + F.col("_pl") + F.col("_pc")) / num(3)
     b = b.withColumns({
         "_tp": tp,
-        "_lr": F.ln(div(c, F.nullif(F.col("_pc"), num(0)))),
         "_signed": F.coalesce(F.signum(c - F.col("_pc")), num(0)) * v,
         "_mv": div((c - l) - (h - c), F.nullif(h - l, num(0))) * v,
         "_up": F.when(tp > ptp, tp * v).otherwise(num(0)),
@@ -193,7 +246,7 @@ def latest_window_features(bars: DataFrame) -> DataFrame:
         "high20": full(F.max, "close", 2, 20), "low20": full(F.min, "close", 2, 20),
         "high52": F.max(span("close", 1, YEAR)), "low52": F.min(span("close", 1, YEAR)),
         "_h52": F.max(span("high", 1, YEAR)), "_l52": F.min(span("low", 1, YEAR)),
-        "vol_daily": F.stddev_samp(span("_lr", 1, 60)), "_va": F.stddev_samp(span("_lr", 1, YEAR)),
+        "vol_daily": F.stddev_samp(F.when(F.col("_lk") <= 60, F.col("_lr"))), "_va": F.stddev_samp(F.when(F.col("_lk") <= YEAR, F.col("_lr"))),
         **{f"_hh{i}": full(F.max, "high", i, 14) for i in (1, 2, 3)},
         **{f"_ll{i}": full(F.min, "low", i, 14) for i in (1, 2, 3)},
         "_c2": at("close", 2), "_c3": at("close", 3),
@@ -206,8 +259,6 @@ def latest_window_features(bars: DataFrame) -> DataFrame:
         **{f"_mh{n}": full(F.max, "high", 1, n) for n in (9, 26, 52)},
         **{f"_ml{n}": full(F.min, "low", 1, n) for n in (9, 26, 52)},
     }
-    g = b.groupBy("symbol").agg(*[e.alias(k) for k, e in aggs.items()])
-    g = g.where((F.col("_n") >= MIN_BASIC) & (F.col("_closes") > 0))
     n, p, c2 = F.col("_n"), F.col("price"), F.col
     width = num(4) * c2("_sd20")
     lower = c2("sma20") - num(2) * c2("_sd20")
@@ -257,79 +308,157 @@ def latest_window_features(bars: DataFrame) -> DataFrame:
         "range_pos_pct": rnd(div(p - c2("_l52"), rng) * num(100), 1),
         "fib_nearest": F.when(rng.isNotNull(), F.array_min(levels)["label"]),
     }
-    return g.select("symbol", "ts", *[e.alias(x) for x, e in basic.items()],
-                    *[F.when(n >= MIN_ADVANCED, e).alias(x) for x, e in advanced.items()])
+    return _Grouped(b, aggs), [F.col("ts"), *[e.alias(x) for x, e in basic.items()], *[F.when(n >= MIN_ADVANCED, e).alias(x) for x, e in advanced.items()]]
+
+
+# Smoothing constants of the recursive indicators.
+EMA = {f"ema{n}": 2 / (n + 1) for n in (9, 12, 20, 21, 26)}
+SIGNAL, WILDER, PERIOD = 2 / 10, 1 / 14, 14
+MOVES = ("gain", "loss", "range", "wilder", "plus", "minus")
+
+
+def _true_range() -> Column:
+    h, l, pc = F.col("high"), F.col("low"), F.col("_pc")
+    return F.greatest(h - l, F.abs(h - pc), F.abs(l - pc))
+
+
+def smoothed_features(bars: DataFrame) -> DataFrame:
+    """Numbered bars (_from_the_end) with every recursive indicator at every bar, and the states behind them.
+
+    Two prefix scans: means of prices and moves first, then the MACD signal and the mean of DX, which read the first.
+    """
+    c, w = F.col("close"), scans.symbol_window()
+    up, down, diff = F.col("high") - F.col("_ph"), F.col("_pl") - F.col("low"), c - F.col("_pc")
+    b = bars.withColumns({
+        "_gain": F.when(diff.isNotNull(), F.greatest(diff, num(0))), "_loss": F.when(diff.isNotNull(), F.greatest(-diff, num(0))), "_tr": _true_range(),
+        "_up": F.when((up > down) & (up > 0), up).otherwise(num(0)), "_dn": F.when((down > up) & (down > 0), down).otherwise(num(0)),
+        "_peak": F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    b = scans.ewm(b, {**{k: ("close", a, False) for k, a in EMA.items()}, "gain": ("_gain", WILDER, True), "loss": ("_loss", WILDER, True), "range": ("_tr", WILDER, True),
+                      "wilder": ("_tr", WILDER, False), "plus": ("_up", WILDER, False), "minus": ("_dn", WILDER, False)})
+    ready = lambda k: F.when(F.col(f"{k}_n") >= PERIOD, F.col(k))
+    b = b.withColumns({"macd": F.col("ema12") - F.col("ema26"), "plus_di": num(100) * div(ready("plus"), ready("wilder")), "minus_di": num(100) * div(ready("minus"), ready("wilder")),
+                       "rsi": num(100) - div(num(100), num(1) + div(ready("gain"), F.nullif(ready("loss"), num(0)))), "atr": ready("range"),
+                       "_drawdown": div("close", "_peak") - num(1)})
+    b = b.withColumn("_dx", div(num(100) * F.abs(F.col("plus_di") - F.col("minus_di")), F.nullif(F.col("plus_di") + F.col("minus_di"), num(0))))
+    b = scans.ewm(b, {"macd_signal": ("macd", SIGNAL, False), "dx": ("_dx", WILDER, False)})
+    b = b.withColumns({"macd_hist": F.col("macd") - F.col("macd_signal"), "adx": ready("dx")})
+    return b.withColumn("macd_hist_prev", F.lag("macd_hist").over(w)).drop("_gain", "_loss", "_tr", "_up", "_dn", "_dx")
+
+
+def _recursive(b: DataFrame) -> tuple[dict[str, Column], list[Column]]:
+    """Aggregates of smoothed bars, and the recursive features as columns over them.
+
+    Supertrend and SAR depend on their path, so they alone fold the history, as an array of three prices a day.
+    """
+    newest = F.col("_rr") == 1
+    read = ("macd", "macd_signal", "macd_hist", "macd_hist_prev", "rsi", "atr", "ema9", "ema21", "ema20", "adx", "plus_di", "minus_di")
+    aggs = {f"_r_{k}": F.max(F.when(newest, F.col(k))) for k in read}
+    aggs |= {"_r_wilder": F.max(F.when(newest & (F.col("wilder_n") >= PERIOD), F.col("wilder"))), "_r_close": F.max(F.when(newest, F.col("close"))),
+             "_dd": F.min("_drawdown"), "_path": F.sort_array(F.collect_list(F.struct("ts", "high", "low", "close")))}
+    adv, at = F.col("_n") >= MIN_ADVANCED, lambda k: F.col(f"_r_{k}")
+    lower, upper = at("ema20") - num(2) * at("wilder"), at("ema20") + num(2) * at("wilder")
+    keltner = F.when((lower != 0) & (upper != 0), num(100) * div(at("close") - lower, upper - lower))
+    advanced = {"ema9": at("ema9"), "ema21": at("ema21"), "ema9_above_21": at("ema9") > at("ema21"), "adx": at("adx"), "plus_di": at("plus_di"), "minus_di": at("minus_di"),
+                "supertrend_up": folds.supertrend(F.col("_path")), "psar_bull": folds.parabolic_sar(F.col("_path")), "keltner_pos": keltner,
+                "max_drawdown_pct": F.col("_dd") * num(100)}
+    basic = ("macd", "macd_signal", "macd_hist", "macd_hist_prev", "rsi", "atr")
+    return aggs, [*[at(k).alias(k) for k in basic], *[F.when(adv, e).alias(k) for k, e in advanced.items()]]
 
 
 def folded_features(bars: DataFrame) -> DataFrame:
     """Recursive indicators of the newest bar per symbol."""
-    bar = F.struct("ts", "high", "low", "close")
-    g = bars.groupBy("symbol").agg(F.sort_array(F.collect_list(bar)).alias("_bars"),
-                                   F.count("*").alias("_n"), F.count("close").alias("_closes"))
-    g = g.where((F.col("_n") >= MIN_BASIC) & (F.col("_closes") > 0))
-    arr = near = F.col("_bars")
-    g = g.select("symbol", "_n", folds.macd(near).alias("_macd"), folds.rsi(near).alias("_rsi"),
-                 folds.atr(near).alias("_atr"), folds.ema(near, 9, 21).alias("_ema"),
-                 folds.ema(near, 20)["ema20"].alias("_ema20"), folds.adx(near).alias("_adx"),
-                 folds.supertrend(arr).alias("_st"), folds.parabolic_sar(arr).alias("_psar"),
-                 folds.max_drawdown(arr).alias("_dd"), F.element_at(arr, -1)["close"].alias("_close"))
-    adv = F.col("_n") >= MIN_ADVANCED
-    wil = F.col("_atr.wilder")
-    lower, upper = F.col("_ema20") - num(2) * wil, F.col("_ema20") + num(2) * wil
-    keltner = F.when((lower != 0) & (upper != 0), num(100) * div(F.col("_close") - lower, upper - lower))
-    return g.select(
-        "symbol",
-        F.col("_macd.macd").alias("macd"), F.col("_macd.signal").alias("macd_signal"),
-        F.col("_macd.hist").alias("macd_hist"), F.col("_macd.hist_prev").alias("macd_hist_prev"),
-        F.col("_rsi").alias("rsi"), F.col("_atr.atr").alias("atr"),
-        *[F.when(adv, e).alias(k) for k, e in {
-            "ema9": F.col("_ema.ema9"), "ema21": F.col("_ema.ema21"),
-            "ema9_above_21": F.col("_ema.ema9") > F.col("_ema.ema21"),
-            "adx": F.col("_adx.adx"), "plus_di": F.col("_adx.plus_di"), "minus_di": F.col("_adx.minus_di"),
-            "supertrend_up": F.col("_st"), "psar_bull": F.col("_psar"), "keltner_pos": keltner,
-            "max_drawdown_pct": F.col("_dd")}.items()])
-
-
-def _path_flags(frame: pd.DataFrame) -> pd.DataFrame:
-    """Supertrend(10, 3) and SAR flags at every bar of one symbol."""
-    f = frame.sort_values("ts")
-    prev = f["close"].shift(1)
-    ranges = pd.concat([f["high"] - f["low"], (f["high"] - prev).abs(), (f["low"] - prev).abs()], axis=1)
-    smooth = 3.0 * ranges.max(axis=1).ewm(alpha=0.1, adjust=False, min_periods=10).mean()
-    mid = (f["high"] + f["low"]) / 2
-    trend, sar = [None], []
-    up_band, low_band, rising = (mid + smooth).iloc[0], (mid - smooth).iloc[0], True
-    level, extreme, speed, bull, last = f["low"].iloc[0], f["high"].iloc[0], 0.02, True, None
-    for high, low, close, upper, lower in zip(f["high"], f["low"], f["close"], mid + smooth, mid - smooth):
-        if last is not None:
-            rising = True if close > up_band else False if close < low_band else rising
-            trend.append(rising)
-            up_band = min(upper, up_band) if last <= up_band else upper
-            low_band = max(lower, low_band) if last >= low_band else lower
-            level = level + speed * (extreme - level)
-            best, worst = (high, low) if bull else (low, high)
-            if (worst < level) if bull else (worst > level):
-                level, extreme, speed, bull = extreme, worst, 0.02, not bull
-            elif (best > extreme) if bull else (best < extreme):
-                extreme, speed = best, min(speed + 0.02, 0.2)
-        sar.append(bool(close > level))
-        last = close
-    return pd.DataFrame({"symbol": f["symbol"], "ts": f["ts"], "supertrend_up": trend, "psar_bull": sar})
+    b = smoothed_features(_from_the_end(bars))
+    aggs, chosen = _recursive(b)
+    return _enough(_Grouped(b, {"_n": F.count("*"), "_closes": F.count("close"), **aggs}).agg).select("symbol", *chosen)
+
+
+def latest_features(bars: DataFrame) -> DataFrame:
+    """One raw (unrounded) feature row per symbol with at least 30 bars."""
+    g, finite_ = _finite(smoothed_features(_from_the_end(bars)))
+    aggs, recursive = _recursive(g.bars)
+    g.aggs = {**g.aggs, **aggs}
+    return _enough(g.agg).select("symbol", *finite_, *recursive).withColumn("atr_pct", num(100) * div("atr", "price"))
 
 
 def path_flag_series(bars: DataFrame) -> DataFrame:
-    """Series shape of the two path-dependent flags; one group is one symbol's days, bounded by the calendar.
+    """symbol, ts, supertrend_up, psar_bull at every bar.
 
-    Supertrend compares with the lower band of the previous bar, as the fold does.
+    Both flags depend on their path, so a symbol's chunks of scans.BLOCK bars follow each other: round k folds chunk k of
+    all symbols from the states that round k - 1 stored, and emits the flag at every bar. An array never holds more than a chunk.
     """
-    return bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(
-        _path_flags, "symbol string, ts date, supertrend_up boolean, psar_bull boolean")
+    b = scans.in_order(one_a_day(bars.select("symbol", "ts", "high", "low", "close", "volume", "open")))
+    chunks = stored(b.groupBy("symbol", "_blk").agg(F.sort_array(F.collect_list(F.struct("ts", "high", "low", "close"))).alias("bars")), "chunks", ["_blk"])
+    both = {"supertrend_up": folds.supertrend_fold(), "psar_bull": folds.sar_fold()}
+    last = chunks.agg(F.max("_blk")).first()[0]
+    rounds, states = [], None
+    for k in range((last if last is not None else 0) + 1):
+        rows = chunks.where(F.col("_blk") == k)
+        carried = F.lit(None) if states is None else F.col("state")
+        rows = rows if states is None else rows.join(states, "symbol", "left")
+        done = rows.select("symbol", "bars", folds.flags(F.col("bars"), both, carried).alias("f"))
+        rounds.append(stored(done.select("symbol", F.transform("bars", lambda x: x["ts"]).alias("ts"), "f.*"), "flags"))
+        states = rounds[-1].select("symbol", "state")
+    out = functools.reduce(DataFrame.unionAll, [r.select("symbol", "ts", "shown") for r in rounds])
+    return out.select("symbol", F.explode(F.arrays_zip("ts", "shown")).alias("x")).select("symbol", "x.ts", "x.shown.*")
 
 
-def latest_features(bars: DataFrame) -> DataFrame:
-    """One raw (unrounded) feature row per symbol with at least 30 bars."""
-    f = latest_window_features(bars).join(folded_features(bars), "symbol")
-    return f.withColumn("atr_pct", num(100) * div("atr", "price"))
+MEANS = (*EMA, *MOVES, "macd_signal", "dx")
+
+
+def summaries(bars: DataFrame) -> DataFrame:
+    """symbol, ts and `state`: what the recursive indicators need to go on after the newest bar, a few dozen numbers a symbol."""
+    b = smoothed_features(_from_the_end(bars)).where("_rr = 1")
+    mean = lambda k: F.struct(F.col(k).alias("avg"), F.col(f"{k}_w").alias("w"), F.col(f"{k}_n").alias("n")).alias(k)
+    return b.select("symbol", "ts", F.struct(*[mean(k) for k in MEANS], *[F.col(x).alias(f"last_{x}") for x in ("close", "high", "low")],
+                                             (F.col("rn") + 1).alias("bars"), F.col("macd_hist").alias("hist")).alias("state"))
+
+
+def _step(s: Column, b: Column) -> Column:
+    """One bar more: the state after it."""
+    diff, up, down = b["close"] - s["last_close"], b["high"] - s["last_high"], s["last_low"] - b["low"]
+    tr = F.greatest(b["high"] - b["low"], F.abs(b["high"] - s["last_close"]), F.abs(b["low"] - s["last_close"]))
+    x = {**{k: (b["close"], a, False) for k, a in EMA.items()},
+         "gain": (F.when(diff.isNotNull(), F.greatest(diff, num(0))), WILDER, True), "loss": (F.when(diff.isNotNull(), F.greatest(-diff, num(0))), WILDER, True),
+         "range": (tr, WILDER, True), "wilder": (tr, WILDER, False),
+         "plus": (F.when((up > down) & (up > 0), up).otherwise(num(0)), WILDER, False), "minus": (F.when((down > up) & (down > 0), down).otherwise(num(0)), WILDER, False)}
+    first = F.struct(*[folds.ewm_step(s[k], v, a, adjust).alias(k) for k, (v, a, adjust) in x.items()])
+
+    def second(e: Column) -> Column:
+        di = lambda k: num(100) * div(folds.ready(e[k], PERIOD), folds.ready(e["wilder"], PERIOD))
+        dx = div(num(100) * F.abs(di("plus") - di("minus")), F.nullif(di("plus") + di("minus"), num(0)))
+        line = e["ema12"]["avg"] - e["ema26"]["avg"]
+        signal = folds.ewm_step(s["macd_signal"], line, SIGNAL, False)
+        return F.struct(*[e[k].alias(k) for k in (*EMA, *MOVES)], signal.alias("macd_signal"), folds.ewm_step(s["dx"], dx, WILDER, False).alias("dx"),
+                        *[b[c].alias(f"last_{c}") for c in ("close", "high", "low")], (s["bars"] + 1).alias("bars"), (line - signal["avg"]).alias("hist"))
+
+    return let(first, second)
+
+
+def advanced(kept: DataFrame, newer: DataFrame) -> DataFrame:
+    """summaries() as they are after newer bars: of symbols in `kept` only bars after their ts are read; new symbols start there.
+
+    The array holds a symbol's new bars only (one a day that was missed).
+    """
+    known = kept.select(F.col("symbol").alias("_s"), F.col("ts").alias("_since"))
+    fresh = one_a_day(newer).join(known, F.col("symbol") == F.col("_s"), "left").where("_since is null or ts > _since")
+    new = fresh.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "high", "low", "close"))).alias("_new"))
+    empty = F.struct(*[folds.ewm_start().alias(k) for k in MEANS], *[F.lit(None).cast("double").alias(f"last_{x}") for x in ("close", "high", "low")],
+                     F.lit(0).alias("bars"), F.lit(None).cast("double").alias("hist"))
+    both = kept.join(new, "symbol", "full_outer")
+    state = F.aggregate(F.coalesce("_new", F.array().cast(new.schema["_new"].dataType)), F.coalesce(F.col("state"), empty), _step)
+    return both.select("symbol", F.coalesce(F.element_at("_new", -1)["ts"], "ts").alias("ts"), state.alias("state"))
+
+
+def from_summaries(kept: DataFrame) -> DataFrame:
+    """MACD, RSI, ATR, EMA and ADX of the newest bar, from summaries."""
+    s = F.col("state")
+    di = lambda k: num(100) * div(folds.ready(s[k], PERIOD), folds.ready(s["wilder"], PERIOD))
+    adv = s["bars"] >= MIN_ADVANCED
+    return kept.where(s["bars"] >= MIN_BASIC).select(
+        "symbol", "ts", (s["ema12.avg"] - s["ema26.avg"]).alias("macd"), s["macd_signal.avg"].alias("macd_signal"), s["hist"].alias("macd_hist"),
+        (num(100) - div(num(100), num(1) + div(folds.ready(s["gain"], PERIOD), F.nullif(folds.ready(s["loss"], PERIOD), num(0))))).alias("rsi"),
+        folds.ready(s["range"], PERIOD).alias("atr"),
+        *[F.when(adv, e).alias(k) for k, e in {"ema9": s["ema9.avg"], "ema21": s["ema21.avg"], "adx": folds.ready(s["dx"], PERIOD), "plus_di": di("plus"), "minus_di": di("minus")}.items()])
 
 
 def rounded(features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -186,7 +186,7 @@ FOLDED = {
 }
 for _name, _cols in WINDOWED.items():
     _named(_name, lambda st, cols=_cols: indicators.rounded(
-        indicators.latest_window_features(indicators.clean_bars(st.bars())).select("symbol", *cols)))
+        indicators.tail_features(indicators.clean_bars(st.bars())).select("symbol", *cols)))
 for _name, _cols in FOLDED.items():
     _named(_name, lambda st, cols=_cols: indicators.rounded(
         indicators.folded_features(indicators.clean_bars(st.bars())).select("symbol", *cols)))
@@ -197,6 +197,12 @@ _named("ind_volatility", lambda st: indicators.rounded(
         "symbol", "vol_daily", "vol_annual_pct", "max_drawdown_pct")))
 
 
+@query
+def path_flags_series(st: Stages) -> DataFrame:
+    """Supertrend and SAR flags at every bar."""
+    return indicators.path_flag_series(indicators.clean_bars(st.bars()))
+
+
 @query
 def intraday_pattern(st: Stages) -> DataFrame:
     return intraday.patterns(fx.bars30(st.spark, st.sf_dir))
@@ -570,13 +576,13 @@ def stream_sessions(st: Stages) -> DataFrame:
 @query
 def stream_indicators(st: Stages) -> DataFrame:
     s = jobs.replay_indicators(st.spark, st.bars())
-    last = s.groupBy("symbol").agg(F.max_by(F.struct("macd", "macd_signal", "macd_hist", "rsi", "psar_bull"), "ts").alias("r"))
+    last = s.groupBy("symbol").agg(F.max_by(F.struct(*[c for c in s.columns if c not in ("symbol", "ts")]), "ts").alias("r"))
     return indicators.rounded(last.select("symbol", "r.*"))
 
 
 @query
 def stream_alerts(st: Stages) -> DataFrame:
-    profile = st.features().select("symbol", "vol_avg20", C("sma200").alias("ref_close"))
+    profile = st.features().select("symbol", "vol_avg20")
     return jobs.replay_alerts(st.spark, st.bars(), profile)
 
 

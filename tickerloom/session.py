@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,14 @@ def work_dir(spark: SparkSession) -> str:
     return named
 
 
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: computed once, survives lost executors."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{work_dir(spark).rstrip('/')}/tickerloom/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, partitionBy=partition_by)
+    return spark.read.schema(schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: computed once, survives lost executors."""
     sc = df.sparkSession.sparkContext

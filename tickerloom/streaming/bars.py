@@ -55,14 +55,14 @@ def attention_sessions(mentions: DataFrame, gap: str = "6 hours", delay: str = "
     return g.count().select("symbol", C("w.start").alias("start"), C("w.end").alias("end"), C("count").alias("mentions"))
 
 
-def alerts(bars: DataFrame, profile: DataFrame) -> DataFrame:
-    """Volume spikes and steep drops of a bar stream against a static profile per symbol.
+def alerts(returns: DataFrame, profile: DataFrame) -> DataFrame:
+    """Steep falls and volume spikes: symbol, ts, ret_5d, volume (five_day_returns) against a static profile.
 
-    profile(symbol, vol_avg20, ref_close): the stream-static join is left to Spark,
-    which broadcasts the profile only while it is small.
+    profile(symbol, vol_avg20): the stream-static join is left to Spark, which
+    broadcasts the profile only while it is small.
     """
-    j = bars.join(profile, "symbol")
-    rvol, ret = rnd(div("volume", "vol_avg20"), 4), rnd((div("close", "ref_close") - num(1)) * num(100), 4)
+    j = returns.join(profile, "symbol")
+    rvol, ret = rnd(div("volume", "vol_avg20"), 4), rnd("ret_5d", 4)
     kind = F.when(ret <= -8, F.lit("drop")).when(rvol >= 1.8, F.lit("volume"))
-    return (j.select("symbol", "ts", rvol.alias("rvol"), ret.alias("ret_pct"), kind.alias("alert"))
+    return (j.select("symbol", "ts", rvol.alias("rvol"), ret.alias("ret_5d"), kind.alias("alert"))
             .where("alert is not null"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tickerloom.functions.core import num
 from tickerloom.session import work_dir
 from tickerloom.streaming import bars as sb
-from tickerloom.streaming.indicators import running_indicators
+from tickerloom.streaming.buckets import Buckets
+from tickerloom.streaming.indicators import five_day_returns, running_indicators
 
 C = F.col
 
@@ -22,13 +23,19 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ts", C("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Appends the stream to a parquet table in the shared folder and returns it as a batch table."""
+def run_to_table(stream: DataFrame, name: str, seen: dict[str, str] | None = None) -> DataFrame:
+    """Appends the stream to a parquet table in the shared folder and returns it as a batch table.
+
+    `seen`, if given, gets the event-time watermark that the query ended with.
+    """
     spark = stream.sparkSession
     root = f"{work_dir(spark).rstrip('/')}/tickerloom/streams/{name}-{uuid.uuid4().hex[:8]}"
     q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start(f"{root}/table"))
     q.awaitTermination()
+    marks = [p["eventTime"]["watermark"] for p in q.recentProgress if "watermark" in p["eventTime"]]
+    if seen is not None and marks:
+        seen["watermark"] = max(marks)  # ISO text in UTC
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
@@ -54,9 +61,10 @@ def replay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_mention_surge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hourly = run_to_table(sb.mention_counts(mentions(events_stream(spark, sf_dir))), "mentions")
-    closed = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.max(C("ts").cast("timestamp")) - F.expr("interval 2 hours")).alias("until"))
-    return sb.mention_surges(sb.rolling_mentions(hourly, closed))
+    seen: dict[str, str] = {}
+    hourly = run_to_table(sb.mention_counts(mentions(events_stream(spark, sf_dir))), "mentions", seen)
+    until = F.lit(seen.get("watermark")).cast("timestamp")  # hours up to here are complete
+    return sb.mention_surges(sb.rolling_mentions(hourly, spark.range(1).select(until.alias("until"))))
 
 
 def replay_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +72,10 @@ def replay_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bar_stream(spark: SparkSession, bars: DataFrame) -> DataFrame:
-    """Streams the parquet files behind a written bars table."""
-    folder = bars.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(bars.schema).parquet(folder)
+    """Streams a bars table from a copy in the shared folder, whatever its own layout (folders by year, several roots)."""
+    root = f"{work_dir(spark).rstrip('/')}/tickerloom/streams/bars-{uuid.uuid4().hex[:8]}"
+    bars.write.parquet(root)
+    return spark.readStream.schema(bars.schema).parquet(root)
 
 
 def replay_indicators(spark: SparkSession, bars: DataFrame) -> DataFrame:
@@ -74,26 +83,12 @@ def replay_indicators(spark: SparkSession, bars: DataFrame) -> DataFrame:
 
 
 def replay_alerts(spark: SparkSession, bars: DataFrame, profile: DataFrame) -> DataFrame:
-    return run_to_table(sb.alerts(bar_stream(spark, bars), profile), "alerts")
-
-
-def upsert_latest(stream: DataFrame, root: str) -> None:
-    """Keeps the newest bar per symbol: each micro-batch writes version=<batch id> from the version before.
-
-    Old and new rows meet in one aggregation that keeps the latest ts, so files may
-    arrive in any order; repeating a batch after a failure rewrites the same version
-    from the same predecessor.
-    """
-    spark = stream.sparkSession
+    return run_to_table(sb.alerts(five_day_returns(bar_stream(spark, bars)), profile), "alerts")
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        cols = [c for c in batch.columns if c != "symbol"]
-        if batch_id > 0:
-            batch = batch.unionByName(spark.read.parquet(f"{root}/version={batch_id - 1}"))
-        latest = batch.groupBy("symbol").agg(F.max_by(F.struct(*cols), "ts").alias("r")).select("symbol", "r.*")
-        latest.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
 
-    q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}-checkpoint")
+def upsert_latest(stream: DataFrame, table: Buckets) -> None:
+    """Keeps the newest bar per symbol in a bucketed table; see Buckets.merge."""
+    q = (stream.writeStream.foreachBatch(table.merge).option("checkpointLocation", f"{table.root}-checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -103,7 +98,6 @@ def replay_snapshot(spark: SparkSession, bars: DataFrame, side: DataFrame, parts
     root = f"{work_dir(spark).rstrip('/')}/tickerloom/streams/latest-{uuid.uuid4().hex[:8]}"
     bars.repartitionByRange(parts, "ts").write.parquet(f"{root}-in")
     stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}-in")
-    upsert_latest(stream, root)
-    latest = spark.read.parquet(root)
-    newest = latest.agg(F.max("version").alias("version"))
-    return latest.join(newest, "version").drop("version").join(side, "symbol", "left")
+    table = Buckets(root)
+    upsert_latest(stream, table)
+    return table.read(spark, bars.schema).join(side, "symbol", "left")
