@@ -85,7 +85,7 @@ for _name, _cols in {**qs.WINDOWED, **qs.FOLDED, "ind_atr": ["atr", "atr_pct"],
                      "ind_volatility": ["vol_daily", "vol_annual_pct", "max_drawdown_pct"]}.items():
     _src = "q_win" if _name in qs.WINDOWED else "q_folded" if _name in qs.FOLDED else "q_raw"
     check(_name, "SELECT symbol, " + ", ".join(f'"{c}"' if c in mk.FLAGS else f'{r(chr(34) + c + chr(34), 4)} AS "{c}"' for c in _cols) + f" FROM {_src}")
-check("intraday_pattern", f"""
+define("q_intraday", f"""
   SELECT symbol, o AS open_ret_pct, c AS close_ret_pct, g AS gap_pct, n_days,
          CASE WHEN len(bits) > 0 THEN array_to_string(bits[1:2], ' · ') || ' (Muster aus ' || n_days || ' Tagen, keine Garantie)' END AS intraday_note
   FROM (SELECT *, {picks(
@@ -97,6 +97,7 @@ check("intraday_pattern", f"""
           FROM (SELECT symbol, day, n, cl AS op, cl, o[1] AS op0, cl[n] AS lastc, lag(cl[n]) OVER (PARTITION BY symbol ORDER BY day) AS prevc
                 FROM (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n, list(open ORDER BY ts) AS o, list(close ORDER BY ts) AS cl FROM q_bars30 GROUP BY 1, 2))
           GROUP BY symbol) WHERE bars >= 32 AND n_days >= 8)""")
+check("intraday_pattern", "SELECT * FROM q_intraday")
 # ---- scores
 _day = picks(
     f"CASE WHEN rvol >= 1.5 THEN 'Hohes relatives Volumen (RVOL ' || {t1('rvol')} || '×) – ungewöhnliches Marktinteresse' END",
@@ -388,8 +389,8 @@ _rb = ", ".join(f"c.{b} / (SELECT arg_min({b}, date) FROM q_curve WHERE {b} IS N
 check("equity_vs_benchmark", f"""
   SELECT points, {r(_mv('equity'), 4)} AS depot_pct, {', '.join(f"{r(_mv(b), 4)} AS {b}_pct" for b in _b3)},
          {r('(' + ' + '.join(f'coalesce({_mv("equity")} - {_mv(b)}, 0)' for b in _b3) + ') / nullif(' + ' + '.join(f'(({_mv(b)}) IS NOT NULL)::INT' for b in _b3) + ', 0)', 4)} AS excess_pct
-  FROM (SELECT count(*) AS points FROM q_curve WHERE date >= DATE '2000-10-31'), (SELECT equity, {_rb} FROM q_curve c WHERE date >= DATE '2000-10-31' ORDER BY date LIMIT 1) arg_a,
-       (SELECT equity, {_rb} FROM q_curve c WHERE date >= DATE '2000-10-31' ORDER BY date DESC LIMIT 1) arg_z""")
+  FROM (SELECT count(*) AS points FROM q_curve WHERE date >= DATE '2000-11-04'), (SELECT equity, {_rb} FROM q_curve c WHERE date >= DATE '2000-11-04' ORDER BY date LIMIT 1) arg_a,
+       (SELECT equity, {_rb} FROM q_curve c WHERE date >= DATE '2000-11-04' ORDER BY date DESC LIMIT 1) arg_z""")
 check("trade_stats", f"""
   SELECT count(*) AS n_trades, {r('count(*) FILTER (pnl_pct > 0) / count(pnl_pct)::DOUBLE * 100', 2)} AS hit_rate_pct, {r('avg(pnl_pct)', 4)} AS avg_return_pct, {r('avg(held)', 4)} AS avg_held_days,
          {r('coalesce(avg(pnl_pct) FILTER (pnl_pct > 0), 0)', 4)} AS avg_win_pct, {r('coalesce(avg(pnl_pct) FILTER (pnl_pct <= 0), 0)', 4)} AS avg_loss_pct FROM q_log""")
@@ -419,3 +420,48 @@ check("stream_alerts", f"""
   WHERE ret_5d <= -8 OR rvol >= 1.8""")
 check("stream_snapshot", f"SELECT b.symbol, ts, {r('close', 4)} AS close, listing, sector FROM q_newest b JOIN q_universe USING (symbol) WHERE rr = 1")
 check("path_flags_series", "SELECT symbol, ts, CASE WHEN i > 1 THEN up END AS supertrend_up, pc > ps AS psar_bull FROM q_fold")
+# ---- statements, landed files, runs
+AS_OF = "DATE '2001-11-04'"
+_marks = "(contains(title, 'FOMC') OR contains(title, 'Federal Open Market') OR contains(lower(title), 'monetary policy'))"
+define("q_press", f"""
+  SELECT doc_id AS pos, text, CASE doc_id % 9 WHEN 0 THEN 'Federal Reserve issues <b>FOMC</b> statement no. ' || doc_id WHEN 4 THEN 'Monetary Policy report ' || doc_id
+         ELSE 'Press release ' || doc_id END AS title, {AS_OF} + CAST(doc_id % 700 - 650 AS INTEGER) AS published FROM documents""")
+define("q_statement", f"""
+  SELECT title, published, {_hits(qs.HAWK_TERMS)} AS hawk, {_hits(qs.DOVE_TERMS)} AS dove
+  FROM (SELECT title, published, concat_ws(' ', title, text) AS text FROM q_press WHERE {_marks} AND published <= {AS_OF} ORDER BY published DESC, pos LIMIT 1)""")
+check("macro_statement", """
+  SELECT risk_regime, rate_dir, fomc_next, fomc_in_days, CASE WHEN hawk > dove THEN 'hawkish' WHEN dove > hawk THEN 'dovish' WHEN title IS NOT NULL THEN 'neutral' END AS fomc_tone,
+         substr(trim(regexp_replace(title, '<[^>]+>', '', 'g')), 1, 120) AS fomc_headline, published AS fomc_date FROM q_macro LEFT JOIN q_statement ON true""")
+check("table_filter", """
+  SELECT symbol, name, sector, industry, country, elo_score FROM q_r6
+  WHERE contains(lower(concat_ws(' ', ord, symbol, coalesce(name, 'None'), coalesce(sector, 'None'), coalesce(industry, 'None'), coalesce(country, 'None'),
+    coalesce(to_json(themes)::VARCHAR, 'None'), coalesce(regime, 'None'), coalesce(elo_score::VARCHAR, 'None'))), 'tech')""")
+check("universe_order", """
+  SELECT symbol, name, exchange, ord FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ord) AS k FROM
+    (SELECT 'S' || c_custkey % 700 AS symbol, c_name AS name, c_mktsegment AS exchange, row_number() OVER (ORDER BY c_custkey) - 1 AS ord FROM customer)) WHERE k = 1""")
+check("bars30_landed", f"SELECT symbol, ts, {', '.join(f'{r(c, 4)} AS {c}' for c in ('open', 'high', 'low', 'close'))}, volume FROM q_bars30")
+check("fx_table_landed", "SELECT currency, usd_rate, TIMESTAMP '2024-01-31 00:00:00' AS fetched_at FROM q_rates WHERE usd_rate IS NOT NULL")
+
+
+def _market(source: str) -> str:
+    return f"""SELECT s AS market_sentiment, CASE WHEN s >= 60 THEN 'positiv' WHEN s <= 40 THEN 'negativ' ELSE 'neutral' END AS market_label, n AS market_n
+      FROM (SELECT CAST(least(greatest(50 + 6 * sum({co.title_net()}), 5), 95) AS INTEGER) AS s, count(*) AS n FROM {source})"""
+
+
+check("run_output", f"""
+  SELECT '2001-11-03T18' AS run_ts, (SELECT count(*) FROM q_universe) AS universe_size, (SELECT count(*) FROM q_feat) AS analyzed, market_sentiment, market_label, market_n,
+         vix, risk_regime, rate_dir, fomc_next, fomc_in_days, {AS_OF} AS as_of FROM q_macro, ({_market('q_headlines')})""")
+check("snapshot_light", f"""
+  SELECT r.symbol, r.price, r.rs_rating, coalesce(p.news_score, 50) AS news_score, coalesce(p.news_sentiment, 'neutral') AS news_sentiment, coalesce(p.news_n, 0) AS news_n,
+         e.next_earnings, e.earnings_in_days, i.intraday_note, market_sentiment, market_label, market_n
+  FROM q_rows r LEFT JOIN q_prevnews p USING (symbol) LEFT JOIN q_earn e USING (symbol) LEFT JOIN q_intraday i USING (symbol), ({_market('q_chat')})""")
+_past = "FROM q_ticks WHERE d <= DATE '1996-06-28' GROUP BY symbol, d)"
+check("snapshot_as_of", "SELECT symbol, ts, price, rsi, adx, sma50, macd_hist, vol_daily, longterm_score FROM q_feat")
+assert CHECKS["snapshot_as_of"].count("FROM q_ticks GROUP BY symbol, d)") == 1
+CHECKS["snapshot_as_of"] = CHECKS["snapshot_as_of"].replace("FROM q_ticks GROUP BY symbol, d)", _past)
+check("ind_volatility_gaps", f"""
+  SELECT symbol, {r('CASE WHEN n >= 20 THEN vd END', 4)} AS vol_daily, {r('CASE WHEN n >= 30 THEN va * sqrt(252) * 100 END', 4)} AS vol_annual_pct
+  FROM (SELECT symbol, count(*) AS n, stddev_samp(lr) FILTER (k <= 60) AS vd, stddev_samp(lr) FILTER (k <= 252) AS va
+        FROM (SELECT symbol, lr, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM
+          (SELECT symbol, ts, ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY ts)) AS lr FROM
+            (SELECT symbol, ts, CASE WHEN CAST(volume AS BIGINT) % 13 <> 0 THEN close END AS c FROM q_bars)) WHERE lr IS NOT NULL) GROUP BY symbol)""")

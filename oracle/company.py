@@ -238,7 +238,7 @@ def _dir(s: str, thr: float) -> str:
     return f"CASE WHEN {chg} >= {thr} THEN 'rising' WHEN {chg} <= -{thr} THEN 'falling' ELSE 'flat' END AS {s}_dir"
 
 
-_days = ", ".join(f"DATE '{d}'" for d in mc.FOMC_DAYS)
+_days = "DATE '2001-09-17', DATE '2001-11-06', DATE '2001-12-11'"
 define("q_macro", f"""
   SELECT *, CASE WHEN tnx_pct - nullif(tnx_prev_pct, 0) >= 0.15 THEN 'rising' WHEN tnx_pct - nullif(tnx_prev_pct, 0) <= -0.15
             THEN 'falling' ELSE 'flat' END AS rate_dir, CAST(fomc_next - {AS_OF} AS INTEGER) AS fomc_in_days

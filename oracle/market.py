@@ -5,7 +5,7 @@ from __future__ import annotations
 from oracle.base import bd, cl, define, dv, in_list, pts, r, ri
 from tickerloom.sources import fixtures as fx
 
-AS_OF = "DATE '2001-10-31'"
+AS_OF = "DATE '2001-11-04'"
 
 define("q_nsym", "SELECT count(*) AS n_sym FROM supplier")
 define("q_universe", f"""

@@ -107,8 +107,8 @@ def test_stream_bars_equal_batch_bars_and_drop_late_ticks(spark, tmp_path):
 
 
 def test_alert_rules(spark):
-    b = spark.createDataFrame([("A", 100.0, 92.0), ("B", 180.0, 100.0), ("C", 100.0, 100.0)], "symbol string, volume double, close double")
-    prof = spark.createDataFrame([(s, 100.0, 100.0) for s in "ABC"], "symbol string, vol_avg20 double, ref_close double")
+    b = spark.createDataFrame([("A", 100.0, -8.0), ("B", 180.0, None), ("C", 100.0, -7.9)], "symbol string, volume double, ret_5d double")
+    prof = spark.createDataFrame([(s, 100.0) for s in "ABC"], "symbol string, vol_avg20 double")
     got = {r["symbol"]: r["alert"] for r in sb.alerts(b.withColumn("ts", F.current_date()), prof).collect()}
     assert got == {"A": "drop", "B": "volume"}
 

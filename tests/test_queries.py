@@ -46,7 +46,7 @@ def plan_of(df) -> str:
 def test_latest_features_plan(spark):
     from tickerloom.operators import indicators
     b = indicators.clean_bars(Stages(spark, SF).bars())
-    window = plan_of(indicators.latest_window_features(b))
+    window = plan_of(indicators.tail_features(b))
     assert window.count("Exchange hashpartitioning") == 1  # one shuffle by symbol serves every window
     assert "WindowGroupLimit" in window and "Partial" in window  # rows are cut before that shuffle
     assert "PythonUDF" not in window and "BatchEvalPython" not in window

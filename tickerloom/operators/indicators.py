@@ -455,10 +455,10 @@ def from_summaries(kept: DataFrame) -> DataFrame:
     di = lambda k: num(100) * div(folds.ready(s[k], PERIOD), folds.ready(s["wilder"], PERIOD))
     adv = s["bars"] >= MIN_ADVANCED
     return kept.where(s["bars"] >= MIN_BASIC).select(
-        "symbol", "ts", (s["ema12.avg"] - s["ema26.avg"]).alias("macd"), s["macd_signal.avg"].alias("macd_signal"), s["hist"].alias("macd_hist"),
+        "symbol", "ts", (s["ema12"]["avg"] - s["ema26"]["avg"]).alias("macd"), s["macd_signal"]["avg"].alias("macd_signal"), s["hist"].alias("macd_hist"),
         (num(100) - div(num(100), num(1) + div(folds.ready(s["gain"], PERIOD), F.nullif(folds.ready(s["loss"], PERIOD), num(0))))).alias("rsi"),
         folds.ready(s["range"], PERIOD).alias("atr"),
-        *[F.when(adv, e).alias(k) for k, e in {"ema9": s["ema9.avg"], "ema21": s["ema21.avg"], "adx": folds.ready(s["dx"], PERIOD), "plus_di": di("plus"), "minus_di": di("minus")}.items()])
+        *[F.when(adv, e).alias(k) for k, e in {"ema9": s["ema9"]["avg"], "ema21": s["ema21"]["avg"], "adx": folds.ready(s["dx"], PERIOD), "plus_di": di("plus"), "minus_di": di("minus")}.items()])
 
 
 def rounded(features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

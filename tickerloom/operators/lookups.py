@@ -115,6 +115,16 @@ def fx_convert(df: DataFrame, rates: DataFrame, price_columns: Sequence[str] = P
     return joined.select(*keep, fx.alias("fx_usd"), F.col("_rate").isNull().alias("fx_missing"))
 
 
+def table_filter(df: DataFrame, query: str, order_by: str = "elo_score") -> DataFrame:
+    """Rows whose columns, written out as text, hold the query in any case; greatest order_by first.
+
+    Every column counts, nested ones as JSON; a missing value reads `None`.
+    """
+    flat = [F.coalesce((F.to_json(F.col(f"`{c}`")) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`").cast("string")), F.lit("None")) for c, t in df.dtypes]
+    hits = df.where(F.contains(F.lower(F.concat_ws(" ", *flat)), F.lit(query.lower())))
+    return hits.orderBy(F.col(order_by).desc_nulls_last(), "ord")
+
+
 def search(df: DataFrame, query: str, columns: Sequence[str], array_columns: Sequence[str] = (),
            order_by: str = "elo_score", limit: int | None = 40) -> DataFrame:
     """Case-insensitive substring search over the concatenated columns, best score first; limit=None returns every hit."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date
 
@@ -71,21 +72,71 @@ def context(quotes: DataFrame, as_of: date, events: Sequence[str] = FOMC_DAYS) -
         "fomc_next", F.datediff("fomc_next", today).alias("fomc_in_days"))
 
 
-def policy_tone(statements: DataFrame, text: str = "text", hawkish: Sequence[str] = HAWKISH,
-                dovish: Sequence[str] = DOVISH) -> DataFrame:
-    """Adds hawk_hits, dove_hits and tone from substring counts over the whole text."""
-    s = F.lower(C(text))
+def _overlaps_itself(term: str) -> bool:
+    return any(term[:k] == term[-k:] for k in range(1, len(term)))
+
+
+def with_term_counts(df: DataFrame, text: Column, lists: dict[str, Sequence[str]]) -> DataFrame:
+    """Adds, for each named list, the sum over its terms of their non-overlapping occurrences in `text`.
+
+    One pass: at each place where a term starts an alternation takes the longest one, which stands for all terms that it
+    begins with, so occurrences of different terms may overlap. Terms that can overlap themselves are counted apart.
+    """
+    terms = sorted({w for words in lists.values() for w in words if w}, key=lambda w: (-len(w), w))
+    once = [w for w in terms if not _overlaps_itself(w)]
+    starts = "".join(sorted({re.escape(w[0]) for w in once}))
+    pattern = f"(?=[{starts}])(?=({'|'.join(map(re.escape, once))}))"
+    df = df.withColumn("_found", F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if once else F.array().cast("array<string>"))
 
     def hits(words: Sequence[str]) -> Column:
-        return sum(((F.length(s) - F.length(F.replace(s, F.lit(w), F.lit("")))) / F.lit(len(w)) for w in words),
-                   F.lit(0)).cast("long")
+        total = F.lit(0)
+        for n in range(1, len(words) + 1):  # a term that n of the words begin counts n times
+            heavy = [w for w in once if sum(w.startswith(x) for x in words if x in once) == n]
+            if heavy:
+                total = total + F.size(F.filter("_found", lambda x: x.isin(*heavy))) * n
+        apart = [(F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / F.lit(len(w)) for w in words if w and w not in once]
+        return sum(apart, total).cast("long")
+
+    counted = F.when(text.isNotNull(), F.struct(*[hits(words).alias(name) for name, words in lists.items()])).alias("_c")
+    return df.select("*", counted).select(*[C(c) for c in df.columns if c != "_found"], *[C("_c")[name].alias(name) for name in lists])
+
 
-    df = statements.withColumns({"hawk_hits": hits(hawkish), "dove_hits": hits(dovish)})
+def policy_tone(statements: DataFrame, text: str = "text", hawkish: Sequence[str] = HAWKISH,
+                dovish: Sequence[str] = DOVISH) -> DataFrame:
+    """Adds hawk_hits, dove_hits and tone from substring counts over the whole text."""
+    df = with_term_counts(statements, F.lower(C(text)), {"hawk_hits": hawkish, "dove_hits": dovish})
     h, d = C("hawk_hits"), C("dove_hits")
     return df.withColumn("tone", F.when(h > d, F.lit("hawkish")).when(d > h, F.lit("dovish"))
                          .otherwise(F.lit("neutral")))
 
 
+# What the title of a rate statement holds (the last in any case).
+STATEMENT_MARKS = ("FOMC", "Federal Open Market")
+STATEMENT_TOPIC = "monetary policy"
+
+
+def latest_statement(feed: DataFrame, as_of: date, hawkish: Sequence[str] = HAWKISH, dovish: Sequence[str] = DOVISH) -> DataFrame:
+    """fomc_tone, fomc_headline, fomc_date of the newest matching item by `as_of`: one row, or none.
+
+    feed(pos, title, body, published date): of items of one day the first (by pos) counts. Only the item
+    that was chosen is searched for terms.
+    """
+    title = F.coalesce("title", F.lit(""))
+    match = F.lower(title).contains(STATEMENT_TOPIC)
+    for mark in STATEMENT_MARKS:
+        match = match | title.contains(mark)
+    seen = feed.where(match & (C("published") <= F.lit(as_of.isoformat()).cast("date")))
+    newest = seen.groupBy().agg(F.max_by(F.struct("title", "body", "published"), F.struct("published", -C("pos"))).alias("s")).where("s is not null").select("s.*")
+    toned = policy_tone(newest.withColumn("_item", F.concat_ws(" ", "title", "body")), "_item", hawkish, dovish)
+    headline = F.substring(F.trim(F.regexp_replace("title", "<[^>]+>", "")), 1, 120)
+    return toned.select(C("tone").alias("fomc_tone"), headline.alias("fomc_headline"), C("published").alias("fomc_date"))
+
+
+def with_statement(context_row: DataFrame, statement: DataFrame) -> DataFrame:
+    """The macro row with the statement's columns (NULL without one); both sides have one row at most."""
+    return context_row.join(statement, F.lit(True), "left")
+
+
 MACRO_INPUTS = ("vix", "risk_regime", "rate_dir", "oil_dir", "gold_dir", "silver_dir", "copper_dir", "dxy_dir",
                 "btc_dir", "fomc_in_days")
 

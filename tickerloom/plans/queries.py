@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +14,11 @@ from tickerloom.functions.core import num, rnd
 from tickerloom.operators import (
     backtest, fundamentals, holders, indicators, intraday, lookups, macro, news, portfolio, rating, refresh, reports, scores,
 )
+from tickerloom.plans.snapshot import run_row, technical, with_side_tables
 from tickerloom.plans.stages import Stages
+from tickerloom.session import work_dir
 from tickerloom.sources import fixtures as fx
-from tickerloom.sources import landing
+from tickerloom.sources import landing, sinks
 from tickerloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +168,87 @@ def universe_search(st: Stages) -> DataFrame:
     return hits.select("symbol", "name", "sector", "industry", "country", "elo_score")
 
 
+@query
+def table_filter(st: Stages) -> DataFrame:
+    """Filter over the whole table row, best score first."""
+    rows = st.snapshot().select("ord", "symbol", "name", "sector", "industry", "country", "themes", "regime", "elo_score")
+    return lookups.table_filter(rows, "TECH").select("symbol", "name", "sector", "industry", "country", "elo_score")
+
+
+# ---- landed files and runs ---------------------------------------------------------------------------------------
+def _folder(st: Stages, name: str) -> str:
+    return f"{work_dir(st.spark).rstrip('/')}/tickerloom/landed/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def universe_order(st: Stages) -> DataFrame:
+    """Ticker list from CSV files: `ord` is the line number over all files, however they are split."""
+    c = fx.table(st.spark, st.sf_dir, "customer").select(
+        F.concat(F.lit("S"), (C("c_custkey") % 700).cast("string")).alias("symbol"), C("c_name").alias("name"), C("c_mktsegment").alias("exchange"), "c_custkey")
+    path = _folder(st, "universe")
+    c.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").drop("c_custkey").write.option("header", "true").csv(path)
+    return landing.universe(st.spark, path)
+
+
+@query
+def bars30_landed(st: Stages) -> DataFrame:
+    path = _folder(st, "bars30")
+    fx.bars30(st.spark, st.sf_dir).write.parquet(path)
+    b = landing.bars_intraday(st.spark, path)
+    return b.select("symbol", "ts", *[rnd(c, 4).alias(c) for c in ("open", "high", "low", "close")], "volume")
+
+
+@query
+def fx_table_landed(st: Stages) -> DataFrame:
+    """Rates written as one JSON object, as the refresh leaves them, and read back."""
+    u = fx.universe(st.spark, st.sf_dir).select(lookups.currency_of("listing").alias("currency"))
+    rates = lookups.fx_rates(u, fx.fx_quotes(st.spark, st.sf_dir)).where("usd_rate is not null")
+    entries = F.array_append(F.collect_list(F.struct("currency", C("usd_rate").cast("string").alias("v"))),
+                             F.struct(F.lit("_fetched_at").alias("currency"), F.lit(fx.CACHE_AS_OF).alias("v")))
+    path = _folder(st, "fx")
+    rates.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.text(path)
+    return landing.fx_table(st.spark, path).select("currency", "usd_rate", "fetched_at")
+
+
+def _stored_run(st: Stages, chat: bool) -> str:
+    """A full run in a sink of its own; its headlines are the older ones if `chat`."""
+    root, inp = _folder(st, "runs"), st.inputs()
+    if chat:
+        inp = dataclasses.replace(inp, headlines=fx.chat_headlines(st.spark, st.sf_dir))
+    rows = st.table("previous_rows", lambda: with_side_tables(st.scored(), inp)) if chat else st.rows()
+    sinks.write_run(st.spark, root, "2001-11-03T18", rows, run_row(rows, inp, st.macro()))
+    return root
+
+
+RUN = ["universe_size", "analyzed", "market_sentiment", "market_label", "market_n", "vix", "risk_regime", "rate_dir", "fomc_next", "fomc_in_days", "as_of"]
+
+
+@query
+def run_output(st: Stages) -> DataFrame:
+    """A run's row, written by the sink and read back."""
+    return sinks.runs(st.spark, _stored_run(st, chat=False)).select("run_ts", *RUN)
+
+
+@query
+def snapshot_light(st: Stages) -> DataFrame:
+    """A light run: prices and ranks are new, news, earnings days and intraday notes come from the stored run before it."""
+    root = _stored_run(st, chat=True)
+    inp = dataclasses.replace(st.inputs(), light=True, previous=sinks.previous_snapshot(st.spark, root))
+    r = with_side_tables(st.scored(), inp)
+    market = run_row(r, inp, st.macro(), sinks.runs(st.spark, root)).select("market_sentiment", "market_label", "market_n")
+    return r.select("symbol", "price", "rs_rating", "news_score", "news_sentiment", "news_n", "next_earnings", "earnings_in_days", "intraday_note").crossJoin(market)
+
+
+@query
+def snapshot_as_of(st: Stages) -> DataFrame:
+    """The technical part of a run for a day in the past."""
+    t = technical(dataclasses.replace(st.inputs(), as_of=PAST))
+    return t.select("symbol", "ts", "price", "rsi", "adx", "sma50", "macd_hist", "vol_daily", "longterm_score")
+
+
+PAST = date(1996, 6, 28)
+
+
 # ---- indicators -------------------------------------------------------------------------------------------------
 WINDOWED = {
     "ind_returns": ["price", "prev_close", "daily_return", "ret_5d", "ret_20d", "ret_60d", "roc10"],
@@ -197,6 +283,13 @@ _named("ind_volatility", lambda st: indicators.rounded(
         "symbol", "vol_daily", "vol_annual_pct", "max_drawdown_pct")))
 
 
+@query
+def ind_volatility_gaps(st: Stages) -> DataFrame:
+    """Volatilities where closes are missing: the look-back counts returns, not bars."""
+    f = indicators.latest_features(indicators.clean_bars(fx.gappy_bars(st.bars())))
+    return indicators.rounded(f.select("symbol", "vol_daily", "vol_annual_pct"))
+
+
 @query
 def path_flags_series(st: Stages) -> DataFrame:
     """Supertrend and SAR flags at every bar."""
@@ -315,7 +408,14 @@ def macro_series(st: Stages) -> DataFrame:
 
 @query
 def macro_context(st: Stages) -> DataFrame:
-    return macro.context(fx.macro_quotes(st.spark, st.sf_dir), fx.AS_OF)
+    return st.macro()
+
+
+@query
+def macro_statement(st: Stages) -> DataFrame:
+    """The macro row with tone, headline and date of the newest rate statement."""
+    s = macro.latest_statement(fx.press(st.spark, st.sf_dir), fx.AS_OF, HAWK_TERMS, DOVE_TERMS)
+    return macro.with_statement(st.macro(), s).select("risk_regime", "rate_dir", "fomc_next", "fomc_in_days", "fomc_tone", "fomc_headline", "fomc_date")
 
 
 HAWK_TERMS, DOVE_TERMS = [*macro.HAWKISH, "the ", "der "], [*macro.DOVISH, "tion", "la "]

@@ -56,8 +56,26 @@ def scored_features(bars: DataFrame) -> DataFrame:
 
 
 def technical(inp: Inputs) -> DataFrame:
+    """Features from bars up to as_of; the cut reaches the scan as a filter."""
     u = inp.universe.select("symbol", "listing", "name", "ord")
-    return scored_features(inp.bars).join(u, "symbol")
+    return scored_features(inp.bars.where(C("ts") <= F.lit(inp.as_of.isoformat()).cast("date"))).join(u, "symbol")
+
+
+def known_headlines(inp: Inputs) -> DataFrame:
+    """Headlines published by as_of; one without a readable time counts as known."""
+    at = F.try_to_timestamp("published")
+    return inp.headlines.where(at.isNull() | (at < F.lit(inp.as_of.isoformat()).cast("date") + F.expr("interval 1 day")))
+
+
+def run_row(rows: DataFrame, inp: Inputs, context: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """One row for the run: universe size, symbols analysed, market news (carried over on a light run) and the macro state."""
+    counts = inp.universe.agg(F.count("*").alias("universe_size")).crossJoin(rows.agg(F.count("*").alias("analyzed")))
+    if inp.light and previous is not None:
+        market = previous.select("market_sentiment", "market_label", C("market_n").alias("n"))
+    else:
+        market = news.market_sentiment(known_headlines(inp), inp.positive_words, inp.negative_words).select("market_sentiment", "market_label", "n")
+    macro_row = context.select("vix", "risk_regime", "rate_dir", "fomc_next", "fomc_in_days")
+    return counts.crossJoin(market.withColumnRenamed("n", "market_n")).crossJoin(macro_row).withColumn("as_of", F.lit(inp.as_of.isoformat()).cast("date"))
 
 
 def with_fundamentals(rows: DataFrame, inp: Inputs) -> DataFrame:
@@ -75,7 +93,7 @@ def with_side_tables(rows: DataFrame, inp: Inputs) -> DataFrame:
     if inp.light and inp.previous is not None:
         r = refresh.carry_forward(rows, inp.previous)
     else:
-        n = news.news_sentiment(inp.headlines, inp.positive_words, inp.negative_words)
+        n = news.news_sentiment(known_headlines(inp), inp.positive_words, inp.negative_words)
         r = rows.join(n, "symbol", "left").join(refresh.next_earnings(inp.earnings, inp.as_of), "symbol", "left")
         r = r.withColumns({  # a symbol without headlines is neutral
             "news_score": F.coalesce("news_score", F.lit(50)), "news_n": F.coalesce("news_n", F.lit(0)),

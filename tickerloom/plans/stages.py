@@ -61,7 +61,7 @@ class Stages:
 
     def macro(self) -> DataFrame:
         return self.table("macro", lambda: macro.context(
-            fx.macro_quotes(self.spark, self.sf_dir), fx.AS_OF))
+            fx.macro_quotes(self.spark, self.sf_dir), fx.AS_OF, fx.EVENTS))
 
     def snapshot(self) -> DataFrame:
         return self.table("snapshot", lambda: with_rating(self.rows(), self.macro()))

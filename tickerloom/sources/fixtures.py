@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.core import div, num, rnd
 
-AS_OF = date(2001, 10, 31)
+AS_OF = date(2001, 11, 4)  # the last day that has bars
+EVENTS = ("2001-09-17", "2001-11-06", "2001-12-11")  # decision days around AS_OF
 CACHE_AS_OF = "2024-01-31 00:00:00"
 
 # One entry per nation key 0..24.
@@ -248,6 +249,20 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text").alias("title"), F.col("source").alias("link"), F.col("lang").alias("published"))
 
 
+def press(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Press feed: pos, title, body, published; some titles are rate statements, some days lie after AS_OF."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    title = (F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("Federal Reserve issues <b>FOMC</b> statement no. "), n))
+             .when(F.col("doc_id") % 9 == 4, F.concat(F.lit("Monetary Policy report "), n)).otherwise(F.concat(F.lit("Press release "), n)))
+    day = F.date_add(F.lit(AS_OF.isoformat()).cast("date"), (F.col("doc_id") % 700 - 650).cast("int"))
+    return d.select(F.col("doc_id").alias("pos"), title.alias("title"), F.col("text").alias("body"), day.alias("published"))
+
+
+def gappy_bars(bars: DataFrame) -> DataFrame:
+    """Bars with missing closes: those of every volume that 13 divides."""
+    return bars.withColumn("close", F.when(F.col("volume").cast("long") % 13 != 0, F.col("close")))
+
+
 def chat_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for the headlines of the previous full run."""
     c = table(spark, sf_dir, "conversations").crossJoin(_symbol_count(spark, sf_dir))

@@ -26,10 +26,23 @@ def clean_universe(raw: DataFrame) -> DataFrame:
 
 
 def universe(spark: SparkSession, path: str) -> DataFrame:
-    """CSV symbol,name,exchange with header and optional BOM; `ord` is the input order."""
+    """CSV symbol,name,exchange with header and optional BOM; `ord` is the number of its line."""
     raw = (spark.read.schema("symbol string, name string, exchange string").option("header", "true")
            .option("enforceSchema", "true").csv(path))
-    return clean_universe(raw.withColumn("ord", F.monotonically_increasing_id()))
+    return clean_universe(in_input_order(raw))
+
+
+def in_input_order(rows: DataFrame) -> DataFrame:
+    """Adds `ord`, the place of a row in the files it was read from (by path, then offset), however Spark splits them.
+
+    A split's rows come in file order, so a row's place is its place in the split and what the splits before it hold:
+    a prefix sum over one row a split.
+    """
+    split = ["_file", "_offset"]
+    placed = rows.select("*", C("_metadata.file_path").alias("_file"), C("_metadata.file_block_start").alias("_offset"), F.monotonically_increasing_id().alias("_id"))
+    before = F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1))
+    splits = placed.groupBy(*split).agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    return placed.join(splits.drop("_n"), split).withColumn("ord", C("_before") + C("_id") - C("_first")).drop(*split, "_id", "_first", "_before")
 
 
 def bars(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:

@@ -20,6 +20,18 @@ def write_snapshot(snapshot: DataFrame, root: str, run_ts: str) -> None:
     done.write.mode("overwrite").parquet(f"{root}/latest")
 
 
+def write_run(spark: SparkSession, root: str, run_ts: str, snapshot: DataFrame, run_row: DataFrame) -> None:
+    """A whole run: its row of totals, market and macro state, then the snapshot; rerunning a run_ts replaces both."""
+    run_row.coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/run_ts={run_ts}")
+    write_snapshot(snapshot, root, run_ts)
+
+
+def runs(spark: SparkSession, root: str) -> DataFrame:
+    """One row a run, with run_ts as text."""
+    r = spark.read.parquet(f"{root}/runs")
+    return r.withColumn("run_ts", F.col("run_ts").cast("string"))
+
+
 def previous_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/latest")
 

@@ -2,8 +2,8 @@
 
 Defined behaviour of both: within a micro-batch the bars of a symbol are taken in time order; a bar that isn't later than
 the symbol's newest one is dropped (the state has gone past it). A missing price counts as in the batch folds: means stay
-and their weights decay, comparisons are false. A symbol without bars for `idle_days` of event time loses its state and
-starts anew. The state is a few dozen numbers a symbol; the store keeps it on disk (RocksDB).
+and their weights decay, comparisons are false. A symbol starts anew with a bar that comes more than `idle_days` after the one before
+it; a timer removes its state once that much event time went by without one. The state is a few dozen numbers a symbol; the store keeps it on disk (RocksDB).
 """
 
 from __future__ import annotations
@@ -135,8 +135,11 @@ class RunningIndicators(_Expiring):
         if not len(frame):
             return
         with np.errstate(divide="ignore", invalid="ignore"):
-            out = [s.bar(*bar) for bar in frame[["high", "low", "close"]].astype(float).itertuples(index=False)]
-        s.newest = int(at[-1])
+            out = []
+            for time, *bar in zip(at.tolist(), *(frame[c].astype(float) for c in ("high", "low", "close")), strict=True):
+                s = s if not s.bars or time - s.newest <= self.idle else _Symbol(None)
+                out.append(s.bar(*bar))
+                s.newest = time
         self.state.update(s.kept())
         self._wait(s.newest)
         names = [c.strip().split(" ")[0] for c in OUTPUT.split(",")]
@@ -162,15 +165,16 @@ class DropAndVolume(_Expiring):
         at, frame = at[frame["close"].notna().to_numpy()], frame[frame["close"].notna()]
         if not len(frame):
             return
-        before = [x[0] for x in self.closes.get()] if self.closes.exists() else []
-        closes = np.array([*before, *frame["close"].astype(float)])
-        old = np.r_[np.full(5, np.nan), closes][len(before):len(closes)]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            change = (closes[len(before):] / np.where(old == 0, np.nan, old) - 1) * 100
-        self.closes.put([(float(x),) for x in closes[-5:]])
-        self.newest.update((int(at[-1]),))
+        closes = [x[0] for x in self.closes.get()] if self.closes.exists() else []
+        change, last = [], self.newest.get()[0] if self.newest.exists() else int(at[0])
+        for time, close in zip(at.tolist(), frame["close"].astype(float), strict=True):
+            closes = closes if time - last <= self.idle else []
+            change.append((close / closes[0] - 1) * 100 if len(closes) == 5 and closes[0] else None)
+            closes, last = [*closes, close][-5:], time
+        self.closes.put([(float(x),) for x in closes])
+        self.newest.update((last,))
         self._wait(int(at[-1]))
-        yield pd.DataFrame({"symbol": key[0], "ts": frame["ts"].to_numpy(), "volume": frame["volume"].astype(float).to_numpy(), "ret_5d": change})
+        yield pd.DataFrame({"symbol": key[0], "ts": frame["ts"].to_numpy(), "volume": frame["volume"].astype(float).to_numpy(), "ret_5d": np.array(change, float)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.closes.clear()
