@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickerloom.llm.tables import written
+
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 NODE = 400  # bytes that a node takes besides its label
 SLICE = 256  # rows handed on at once
@@ -189,7 +191,9 @@ def deduplicated(docs: DataFrame, carry: list[str] | None = None, memory: int =
 
     schema = T.StructType(base.schema.fields[:2]).add("points", "long", False).add("length", "long", False).add("sha", "binary", False)
     rows = base.mapInArrow(digests, schema)
-    shared = owners(docs, memory).where("n > 1").select(F.col("sha").alias("_sha"), F.col("length").alias("_length"), "n", F.col("points").alias("most"), F.col("doc_id").alias("keep_id"))
+    # groups of several rows only, written so that the join reads them from an exchange of its own and can split a hot text
+    several, _ = written(owners(docs, memory).where("n > 1"), "owners")
+    shared = several.select(F.col("sha").alias("_sha"), F.col("length").alias("_length"), "n", F.col("points").alias("most"), F.col("doc_id").alias("keep_id"))
     found = rows.join(shared, (F.col("sha") == F.col("_sha")) & (F.col("length") == F.col("_length")), "left")
     alone = F.col("n").isNull()
     stays = F.when(alone, F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("most")))
