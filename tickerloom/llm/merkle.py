@@ -225,7 +225,7 @@ def _expanded(part: int, fanout: int, with_proofs: bool):
 
 
 def manifest(docs: DataFrame, fields: list[str], group: str, id: str, changed: dict[str, Column] | None = None, when: Column | None = None, fanout: int = 3,
-             part: int = 3 ** 9, with_proofs: bool = True) -> DataFrame:
+             part: int = 3 ** 7, with_proofs: bool = True) -> DataFrame:
     """id, leaf, subroot, root, proof_sha256 (H of all siblings), proof (per level the text before and after the own digest;
     null if with_proofs is False), folded_root and verified.
 
