@@ -14,18 +14,18 @@ from, every text is `und`. Repeated rows are predicted alike.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.samples import chosen, fitting, held_out, texts
 
 BUCKETS, DIM = 1 << 15, 8
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 PIECE = 1 << 20  # characters handled at once
 
 
@@ -73,7 +73,7 @@ def train(sample: list[tuple[str, str]], epochs: int = 6, batch: int = 32, rate:
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for at in range(0, len(fit), batch):
-            rows = rng.permutation(fit)[:batch] if at == 0 else fit[at:at + batch]
+            rows = fit[at:at + batch]
             hidden = np.stack([w @ emb[v] for v, w in (bags[i] for i in rows)])
             err = _softmax(hidden @ top + bias)
             err[np.arange(len(rows)), y[rows]] -= 1
@@ -100,7 +100,7 @@ def train(sample: list[tuple[str, str]], epochs: int = 6, batch: int = 32, rate:
 
 def learn(docs: DataFrame, per_lang: int = 500, max_rows: int = 100_000, max_bytes: int = 65536) -> dict | None:
     """Model from the text and lang of documents that samples.held_out doesn't name; every language with a letter in a text is learned."""
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")).select("doc_id", "lang", "text")
+    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     rows = fitting(usable.select("doc_id", "lang", F.octet_length("text").alias("size")), "lang", max_bytes)
     langs = usable.select("lang").distinct().count()
     found = texts(usable, chosen(rows, "lang", max(1, min(per_lang, max_rows // max(1, langs)))))
