@@ -116,19 +116,23 @@ def base_failed(m):
 
 def rules_keep(rows):
     """rows: [(doc_id, text, lang, source)] -> set of kept positions"""
-    tests = {"symbols": ("n_symbols", "n_words", 10), "dup_lines": ("n_dup_lines", "n_lines", 40), "repeats": ("n_repeat_words", "n_words", 20), "shouting": ("n_capitals", "n_words", 90)}
+    tests = {"symbols": ("n_symbols", "n_words", 10, 30), "dup_lines": ("n_dup_lines", "n_lines", 25, 60), "repeats": ("n_repeat_words", "n_words", 10, 20),
+             "shouting": ("n_capitals", "n_words", 20, 90)}
     ms = [measures(r[1]) for r in rows]
     cell = lambda m, k: min(500, m[tests[k][0]] * 1000 // max(1, m[tests[k][1]]) // 10)
     good = [i for i, m in enumerate(ms) if not base_failed(m)]
     kept = set()
     for i in good:
         groups = ([j for j in good if rows[j][2:] == rows[i][2:]], [j for j in good if rows[j][2] == rows[i][2]], good)
-        group = next((g for g in groups if len(g) >= 200), good)
         ok = True
         for k in tests:
-            v = sorted(cell(ms[j], k) for j in group)
-            mid, high = v[math.ceil(len(v) * 0.5) - 1], v[math.ceil(len(v) * 0.75) - 1]
-            ok &= cell(ms[i], k) <= max(mid + 4 * (high - mid), tests[k][2])
+            *_, floor, limit = tests[k]
+            for wide, g in zip((1, 2, 2), (good, *reversed(groups[:2])), strict=True):
+                v = sorted(cell(ms[j], k) for j in g)
+                mid, high = v[math.ceil(len(v) * 0.5) - 1], v[math.ceil(len(v) * 0.9) - 1]
+                if g is good and wide == 1 or len(g) >= 200:
+                    limit = min(max(mid + 8 * (high - mid), floor), wide * limit)
+            ok &= cell(ms[i], k) <= limit
         if ok:
             kept.add(i)
     return kept

@@ -244,6 +244,29 @@ def test_rules_adapt_to_source(spark):
     assert kept == {r[0] for r in loud + plain}
 
 
+def test_each_rule_rejects_junk_and_tightens_in_a_clean_source(spark):
+    """Thresholds are below the fixed cutoffs (10 %, 40 %, 20 %, 90 %) where texts are clean, above them where a source is that way, bounded where it is junk."""
+    rng = random.Random(8)
+    # half of the poems' lines are one of two refrains
+    poem = lambda: "\n".join(x for k in range(6) for x in (prose(5, rng), ("la " + prose(3, random.Random(k % 2)))))
+    rows = [(i, prose(60, rng), "en", "web") for i in range(400)] + [(1000 + i, poem(), "en", "poems") for i in range(250)]
+    rows += [(2000 + i, " ".join(w + "#" * 4 for w in prose(30, rng).split(" ")), "en", "junk") for i in range(250)]
+    part = prose(9, rng)
+    junk = {"symbols": prose(40, rng) + " # # # # #" * 2, "dup_lines": "\n".join([prose(4, random.Random(5))] * 3 + [prose(12, rng) for _ in range(7)]),
+            "repeats": f"{part} {prose(60, rng)} {part}"[: 10**6], "shouting": " ".join(w.upper() if k % 8 == 0 else w for k, w in enumerate(prose(80, rng).replace("ß", "s").replace("é", "e").split(" ")))}
+    junk["dup_lines"] = "\n".join(["one two three four"] * 4 + [prose(12, rng) for _ in range(7)])
+    rows += [(3000 + k, t, "en", "web") for k, t in enumerate(junk.values())]
+    got = {r._row.doc_id: r for r in rules.judged(frame(spark, rows)).collect()}
+    for k, name in enumerate(junk):
+        r = got[3000 + k]
+        assert not r.base_failed and name in r.failed, (name, r)
+    assert sum(got[i].kept for i in range(400)) >= 396
+    assert sum("dup_lines" not in got[i].failed for i in range(1000, 1250)) == 250  # half of all lines, for each of them
+    assert not any(got[i].kept for i in range(2000, 2250))  # 250 documents of junk don't pardon themselves
+    limits = {r.source: r for r in rules.thresholds(rules.sketches(rules.judged(frame(spark, rows)).select("m", F.col("_row.lang").alias("lang"), F.col("_row.source").alias("source")))).collect()}
+    assert limits["web"].dup_lines < 40 < limits["poems"].dup_lines and limits["web"].repeats < 20 and limits["web"].shouting < 90 and limits["junk"].symbols <= 120
+
+
 def test_rules_native_and_empty(docs, empty):
     assert rules.judged(empty).count() == 0
     plan = rules.judged(docs)._jdf.queryExecution().executedPlan().toString()
@@ -323,6 +346,8 @@ def test_language(spark, empty):
     assert all(0 <= r.score <= 1 for r in got)
     assert language.predicted(empty, language.learn(empty)).count() == 0
     assert {r.lang_pred for r in language.predicted(d, None).collect()} == {"und"}
+    signs = frame(spark, [(1, "½ ²", "en", "a"), (2, "Ⅷ 12 _", "en", "a"), (3, "ª", "en", "a")])
+    assert [r.lang_pred == "und" for r in sorted(language.predicted(signs, language.learn(d)).collect(), key=lambda r: r.doc_id)] == [True, True, False]
 
 
 def test_every_language_is_learned(spark):

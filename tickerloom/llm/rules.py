@@ -6,8 +6,10 @@ adapts to the documents around it: its values go into a histogram sketch on a fi
 per cell, so sketches of tasks, days and sources merge by addition, and the grid bounds their size).
 Sketches merge from (lang, source) to lang to all. A group takes its own quantiles when it has
 at least `least` documents, else those of its language, else those of all. The threshold is
-the median plus `spread` times the distance from the median to the upper quantile, never
-below a floor at which ordinary prose lies, so that clean groups lose nothing.
+the median plus `spread` times the distance from the median to the upper quantile, so it tightens where documents are
+alike and loosens where a group's prose is that way by nature. It stays above a floor (what single clean
+documents reach) and below `slack` times the threshold of the next wider group (for all documents below a fixed top), so a
+source full of junk does not pardon itself.
 
 Defined results: null or empty text has no words and fails the base rule; null lang or source
 is a group of its own; documents that fail the base rule don't enter the sketches.
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 from tickerloom.llm.tables import written
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: measure: (numerator, denominator, floor); all in thousandths, grid cell 10, the last cell holds all from 5000 up
-MEASURES = {"symbols": ("n_symbols", "n_words", 100), "dup_lines": ("n_dup_lines", "n_lines", 400), "repeats": ("n_repeat_words", "n_words", 200),
-            "shouting": ("n_capitals", "n_words", 900)}
+#: measure: (numerator, denominator, floor, top); all in thousandths, grid cell 10, the last cell holds all from 5000 up
+MEASURES = {"symbols": ("n_symbols", "n_words", 100, 300), "dup_lines": ("n_dup_lines", "n_lines", 250, 600), "repeats": ("n_repeat_words", "n_words", 100, 200),
+            "shouting": ("n_capitals", "n_words", 200, 900)}
 CELL, CELLS = 10, 500
 
 
@@ -60,7 +62,7 @@ def measured(docs: DataFrame, window: int = 5) -> DataFrame:
 
 
 def _cell(name: str) -> Column:
-    top, bottom, _ = MEASURES[name]
+    top, bottom, *_ = MEASURES[name]
     return F.least(F.lit(CELLS), F.floor(F.col(f"m.{top}") * 1000 / F.greatest(F.lit(1), F.col(f"m.{bottom}")) / CELL)).cast("int")
 
 
@@ -79,7 +81,29 @@ def quantiles(sketch: DataFrame, keys: list[str], upper: float) -> DataFrame:
     return ranked.groupBy(*keys, "measure").agg(F.max("all").alias("n"), at(0.5).alias("mid"), at(upper).alias("high"))
 
 
-def judged(docs: DataFrame, carry: list[str] | None = None, upper: float = 0.75, spread: int = 4, least: int = 200, min_words: int = 10,
+def thresholds(sketch: DataFrame, upper: float = 0.9, spread: int = 8, slack: int = 2, least: int = 200) -> DataFrame:
+    """lang, source and for each measure the threshold in cells: one row for each group of the sketches."""
+    wide = {}
+    for name, keys in (("own", ["lang", "source"]), ("tongue", ["lang"]), ("all", [])):
+        q = quantiles(sketch, keys, upper)
+        limit = F.col("mid") + spread * (F.col("high") - F.col("mid"))
+        per = [F.max(F.when(F.col("measure") == k, limit)).alias(k) for k in MEASURES]
+        wide[name] = q.groupBy(*keys).agg(F.max("n").alias("n"), *per).select(*keys, F.struct("n", *MEASURES).alias(f"t_{name}"))
+    groups = sketch.select("lang", "source").distinct()
+    found = (groups.join(wide["own"], (groups.lang.eqNullSafe(wide["own"].lang)) & (groups.source.eqNullSafe(wide["own"].source)), "left").select(groups["*"], "t_own"))
+    found = found.join(wide["tongue"].withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left").crossJoin(wide["all"])  # one row
+
+    def bounded(k: str) -> Column:
+        floor, top = (x // CELL for x in MEASURES[k][2:])
+        at = F.least(F.greatest(F.col(f"t_all.{k}"), F.lit(floor)), F.lit(top))
+        for group in ("tongue", "own"):
+            at = F.when(F.col(f"t_{group}.n") >= least, F.least(F.greatest(F.col(f"t_{group}.{k}"), F.lit(floor)), slack * at)).otherwise(at)
+        return at.alias(k)
+
+    return found.select("lang", "source", *[bounded(k) for k in MEASURES])
+
+
+def judged(docs: DataFrame, carry: list[str] | None = None, upper: float = 0.9, spread: int = 8, slack: int = 2, least: int = 200, min_words: int = 10,
            max_repeat: int = 20) -> DataFrame:
     """_row (struct of the columns in carry; all by default), m (measures), base_failed, kept, and `failed` (the adaptive rules that a text breaks).
 
@@ -90,18 +114,8 @@ def judged(docs: DataFrame, carry: list[str] | None = None, upper: float = 0.75,
     rows, _ = written(measured(source).select("_row", "lang", "source", "m"), "measures")
     base_failed = (F.col("m.n_words") < min_words) | (100 * F.col("m.n_repeat_words") > max_repeat * F.col("m.n_words"))
     rows = rows.withColumn("base_failed", base_failed)
-    sketch = sketches(rows.where("not base_failed"))
-    wide = {}
-    for name, keys in (("own", ["lang", "source"]), ("tongue", ["lang"]), ("all", [])):
-        q = quantiles(sketch, keys, upper)
-        limit = F.greatest(F.col("mid") + spread * (F.col("high") - F.col("mid")), F.lit(0))
-        per = [F.max(F.when(F.col("measure") == k, limit)).alias(k) for k in MEASURES]
-        wide[name] = q.groupBy(*keys).agg(F.max("n").alias("n"), *per).select(*keys, F.struct("n", *MEASURES).alias(f"t_{name}"))
-    groups = sketch.select("lang", "source").distinct()
-    limits = (groups.join(wide["own"], (groups.lang.eqNullSafe(wide["own"].lang)) & (groups.source.eqNullSafe(wide["own"].source)), "left").select(groups["*"], "t_own"))
-    limits = limits.join(wide["tongue"].withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left").crossJoin(wide["all"])  # one row
-    pick = lambda k: F.when(F.col("t_own.n") >= least, F.col(f"t_own.{k}")).when(F.col("t_tongue.n") >= least, F.col(f"t_tongue.{k}")).otherwise(F.col(f"t_all.{k}"))
-    limits = limits.select(F.col("lang").alias("_gl"), F.col("source").alias("_gs"), *[F.greatest(pick(k), F.lit(MEASURES[k][2] // CELL)).alias(f"_t_{k}") for k in MEASURES])
+    limits = thresholds(sketches(rows.where("not base_failed")), upper, spread, slack, least)
+    limits = limits.select(F.col("lang").alias("_gl"), F.col("source").alias("_gs"), *[F.col(k).alias(f"_t_{k}") for k in MEASURES])
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("_gl")) & F.col("source").eqNullSafe(F.col("_gs")), "left")
     broken = F.array_compact(F.array(*[F.when(_cell(k) > F.col(f"_t_{k}"), F.lit(k)) for k in MEASURES]))
     return joined.select("_row", "m", "base_failed", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken).alias("failed")).withColumn(

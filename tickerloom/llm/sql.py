@@ -70,12 +70,14 @@ c AS MATERIALIZED (SELECT lang, source, unnest([{{'measure': 'symbols', 'cell':
 r1 AS (SELECT lang, source, x.measure AS measure, x.cell AS cell, row_number() OVER (PARTITION BY lang, source, x.measure ORDER BY x.cell) AS k, count(*) OVER (PARTITION BY lang, source, x.measure) AS n FROM c),
 r2 AS (SELECT lang, x.measure AS measure, x.cell AS cell, row_number() OVER (PARTITION BY lang, x.measure ORDER BY x.cell) AS k, count(*) OVER (PARTITION BY lang, x.measure) AS n FROM c),
 r3 AS (SELECT x.measure AS measure, x.cell AS cell, row_number() OVER (PARTITION BY x.measure ORDER BY x.cell) AS k, count(*) OVER (PARTITION BY x.measure) AS n FROM c),
-q1 AS (SELECT lang, source, measure, max(n) AS n, min(cell) FILTER (k * 2 >= n) AS mid, min(cell) FILTER (k * 4 >= n * 3) AS high FROM r1 GROUP BY lang, source, measure),
-q2 AS (SELECT lang, measure, max(n) AS n, min(cell) FILTER (k * 2 >= n) AS mid, min(cell) FILTER (k * 4 >= n * 3) AS high FROM r2 GROUP BY lang, measure),
-q3 AS (SELECT measure, max(n) AS n, min(cell) FILTER (k * 2 >= n) AS mid, min(cell) FILTER (k * 4 >= n * 3) AS high FROM r3 GROUP BY measure),
-lim AS (SELECT q1.lang, q1.source, measure, greatest(CASE WHEN q1.n >= 200 THEN q1.mid + 4 * (q1.high - q1.mid) WHEN q2.n >= 200 THEN q2.mid + 4 * (q2.high - q2.mid) ELSE q3.mid + 4 * (q3.high - q3.mid) END,
-        CASE measure WHEN 'symbols' THEN 10 WHEN 'dup_lines' THEN 40 WHEN 'repeats' THEN 20 ELSE 90 END) AS t
-        FROM q1 JOIN q2 USING (measure) JOIN q3 USING (measure) WHERE q1.lang IS NOT DISTINCT FROM q2.lang),
+q1 AS (SELECT lang, source, measure, max(n) AS n, min(cell) FILTER (k * 2 >= n) AS mid, min(cell) FILTER (k * 10 >= n * 9) AS high FROM r1 GROUP BY lang, source, measure),
+q2 AS (SELECT lang, measure, max(n) AS n, min(cell) FILTER (k * 2 >= n) AS mid, min(cell) FILTER (k * 10 >= n * 9) AS high FROM r2 GROUP BY lang, measure),
+q3 AS (SELECT measure, max(n) AS n, min(cell) FILTER (k * 2 >= n) AS mid, min(cell) FILTER (k * 10 >= n * 9) AS high FROM r3 GROUP BY measure),
+lim3 AS (SELECT measure, floor, least(greatest(mid + 8 * (high - mid), floor), top) AS t FROM q3 JOIN
+         (VALUES ('symbols', 10, 30), ('dup_lines', 25, 60), ('repeats', 10, 20), ('shouting', 20, 90)) AS v(measure, floor, top) USING (measure)),
+lim2 AS (SELECT q2.lang, measure, floor, CASE WHEN n >= 200 THEN least(greatest(mid + 8 * (high - mid), floor), 2 * t) ELSE t END AS t FROM q2 JOIN lim3 USING (measure)),
+lim AS (SELECT q1.lang, q1.source, measure, CASE WHEN n >= 200 THEN least(greatest(mid + 8 * (high - mid), floor), 2 * t) ELSE t END AS t
+        FROM q1 JOIN lim2 USING (measure) WHERE q1.lang IS NOT DISTINCT FROM lim2.lang),
 t AS (SELECT lang, source, {_PICK} FROM lim GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (c0 > t0 OR c1 > t1 OR c2 > t2 OR c3 > t3) AS kept
 FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source
