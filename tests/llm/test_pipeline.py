@@ -54,6 +54,13 @@ def test_stages_keep_the_columns(spark):
         assert out.dtypes == docs.dtypes and out.count() == 0
 
 
+def test_stages_take_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as `a.b`", "2 as m", "3 as gone", "'x' as component_id", "4 as dedup", "5 as copy_no_")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs_, out = docs, stage(spark, docs, SF)
+        assert out.dtypes == docs_.dtypes and out.count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE[name]).fetchdf()) == "ok"
@@ -62,4 +69,4 @@ def test_query_matches_sql(spark, con, name):
 def test_registered():
     names = set(entry.queries())
     assert set(QUERIES) < names and "pipeline" in names and set(ORACLE) < set(entry.oracle_sql())
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
