@@ -50,7 +50,8 @@ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b
 l AS MATERIALIZED (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 90 * (nx.n + ny.n - common)),
 e AS MATERIALIZED (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
 r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.u, r.reached FROM r JOIN e ON e.v = r.doc_id)
-SELECT r.doc_id, coalesce(n.n, 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id, n.n
+SELECT r.doc_id, coalesce(n.n, 0) AS n_shingles, min(reached) AS component_id, coalesce(any_value(k.n_links), 0) AS n_links
+FROM r LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT u AS doc_id, count(*) AS n_links FROM e GROUP BY u) k USING (doc_id) GROUP BY r.doc_id, n.n
 """
 
 _PICK = ", ".join(f"max(CASE WHEN measure = '{k}' THEN t END) AS t{i}" for i, k in enumerate(("symbols", "dup_lines", "repeats", "shouting")))
