@@ -38,9 +38,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.judged(docs).where("kept").select("_row.*")
 
 
+def _one_each(docs: DataFrame) -> DataFrame:
+    """One row for each doc_id and text. Only rows of ids that repeat are shuffled; without such ids docs come back as they are."""
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(repeated, same, "left_anti").unionByName(once)
+
+
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 the document with the smallest doc_id stays; rows without doc_id stay."""
+    """Of each group linked by five-word shingles at 0.8 the document with the smallest doc_id stays; rows without doc_id stay.
+
+    Of rows with equal doc_id (or none) and equal text one stays, before all else.
+    """
+    docs = _one_each(docs)
     groups = setjoin.near_duplicates(docs, shingle=5, percent=80, links=False)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

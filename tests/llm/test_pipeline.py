@@ -61,6 +61,13 @@ def test_stages_take_columns_of_any_name(spark):
         assert out.dtypes == docs_.dtypes and out.count() > 0
 
 
+def test_repeated_rows_and_missing_ids_go_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en"), (1, text, "en"), (2, text, "en"), (None, text, "en"), (None, text, "en"), (None, None, "en"), (3, "other words here", "en"), (1, "x y z", "de")]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), SF).collect()
+    assert sorted((str(r.doc_id), str(r.text)[:5]) for r in out) == [("1", "w0 w1"), ("1", "x y z"), ("3", "other"), ("None", "None"), ("None", "w0 w1")]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE[name]).fetchdf()) == "ok"
