@@ -273,10 +273,11 @@ def chat_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def social(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mention board of the last day against the day before."""
-    e = table(spark, sf_dir, "events").where("ts >= timestamp'2024-01-29' and ts < timestamp'2024-01-31'")
-    e = e.crossJoin(_symbol_count(spark, sf_dir))
-    now = F.col("ts") >= F.lit("2024-01-30").cast("timestamp")
+    """Mention board of the last day with events against the day before."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = e.agg(F.date_trunc("day", F.max("ts")).alias("_day"))  # one row
+    e = e.crossJoin(last).where(F.col("ts") >= F.col("_day") - F.expr("interval 1 day")).crossJoin(_symbol_count(spark, sf_dir))
+    now = F.col("ts") >= F.col("_day")
     board = e.groupBy(_symbol(F.col("user_id") % F.col("n_sym")).alias("ticker")).agg(
         F.count(F.when(now, 1)).cast("int").alias("mentions"),
         F.count(F.when(~now, 1)).cast("int").alias("mentions_24h_ago"),
