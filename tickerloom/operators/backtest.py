@@ -22,7 +22,7 @@ from tickerloom.session import cut_lineage
 C = F.col
 HORIZONS = (21, 63, 126, 252)
 MIN_HIST, BUCKETS = 220, 5
-YEAR = 252
+YEAR, SPAN = 252, 16
 
 
 def rebalance_dates(bars: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def _eligible_calendar(bars: DataFrame, least: int) -> DataFrame:
 
 def eligible(bars: DataFrame, min_hist: int = MIN_HIST, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Bars of the symbols whose history exceeds min_hist + the longest horizon."""
-    every = Window.partitionBy("symbol")
+    every = by_symbol().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in time order, so the scores need no other sort
     return (bars.where("close is not null").withColumn("_n", F.count("*").over(every))
             .where(C("_n") > min_hist + max(horizons)).drop("_n"))
 
@@ -65,15 +65,13 @@ def score_series(bars: DataFrame, ahead: dict[str, Column] | None = None) -> Dat
     b = scans.affine_scan(b, {"macd_signal": (seed(C("macd"), a9), 1 - a9)})
     n = C("rn") + 1
     rsi = F.when(n > 14, num(100) - div(num(100), num(1) + div("_gain", F.nullif(C("_loss"), num(0)))))
-    # long frames cost O(frame) per row, so means come from running sums and the yearly high from
-    # the running high of the current block and of the rest of the block before it
+    # long frames cost O(frame) per row, so means come from running sums and the yearly high from highs of SPAN bars, all
+    # over the sort that the scans left
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    block = Window.partitionBy("symbol", "_yr")
-    b = b.withColumns({"_cum": F.sum("close").over(so_far), "_yr": F.floor(C("rn") / YEAR)})
-    b = b.withColumns({"_head": F.max("close").over(block.orderBy("ts")),
-                       "_tail": F.max("close").over(block.orderBy(F.desc("ts")))})
+    b = b.withColumns({"_cum": F.sum("close").over(so_far), "_high": F.max("close").over(w.rowsBetween(1 - SPAN, 0))})
     mean = lambda m: F.when(n >= m, (C("_cum") - F.lag("_cum", m, 0.0).over(w)) / num(m))
-    high = F.greatest("_head", F.lag("_tail", YEAR - 1).over(w))
+    # spans may overlap; greatest() skips those before the first bar
+    high = F.greatest("_high", *[F.lag("_high", k).over(w) for k in [*range(SPAN, YEAR - SPAN, SPAN), YEAR - SPAN]])
     f = b.select(
         "symbol", "ts", "rn", "close", *ahead, c.alias("price"), "macd", "macd_signal", rsi.alias("rsi"),
         mean(50).alias("sma50"), mean(200).alias("sma200"),
@@ -90,7 +88,8 @@ def forward_returns(bars: DataFrame, horizons: Sequence[int] = HORIZONS) -> Data
 def _ahead(w: WindowSpec, horizons: Sequence[int]) -> dict[str, Column]:
     fwd = {f"fwd_{h}": rnd((div(F.lead("close", h).over(w), F.nullif(C("close"), num(0))) - num(1)) * num(100), 9)
            for h in horizons}
-    return {"n_future": F.count("*").over(Window.partitionBy("symbol")) - F.row_number().over(w), **fwd}
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return {"n_future": F.count("*").over(every) - F.row_number().over(w), **fwd}
 
 
 def scored_panel(bars: DataFrame, min_hist: int = MIN_HIST, horizons: Sequence[int] = HORIZONS) -> DataFrame:
