@@ -26,20 +26,16 @@ MEANS = ("avg array<double>, w array<double>, n array<long>, close double, high
 
 # the smoothings in state order: of the close, of gains, losses and ranges, of directed moves, of Supertrend's range; then MACD's signal and DX
 FIRST = (*EMA, "gain", "loss", "range", "wilder", "plus", "minus", "trend")
-ALPHA = np.array([*EMA.values(), *[WILDER] * 6, 0.1])
-ADJUST = np.array([k in ("gain", "loss", "range") for k in FIRST])
+ALPHA = (*EMA.values(), *[WILDER] * 6, 0.1, SIGNAL, WILDER)
+ADJUST = tuple(k in ("gain", "loss", "range") for k in (*FIRST, "signal", "dx"))
+# per smoothing: decay of a bar, weight of a new value, what the weight grows by
+RATES = tuple((1 - a, 1.0 if adjust else a, adjust) for a, adjust in zip(ALPHA, ADJUST, strict=True))
 AT = {k: i for i, k in enumerate((*FIRST, "signal", "dx"))}
 
 
-def _smooth(avg: np.ndarray, w: np.ndarray, n: np.ndarray, x: np.ndarray, alpha: np.ndarray, adjust: np.ndarray) -> None:
-    """One bar for all smoothings at once, in place; NaN is a missing value."""
-    seen, fresh = ~np.isnan(x), np.isnan(avg)
-    decayed = w * (1 - alpha)
-    gain = np.where(adjust, 1.0, alpha)
-    mixed = (decayed * avg + gain * x) / (decayed + gain)
-    w[:] = np.where(fresh, 1.0, np.where(seen, np.where(adjust, decayed + 1, 1.0), decayed))
-    avg[:] = np.where(seen, np.where(fresh, x, mixed), avg)
-    n += seen
+def _most(a: float, b: float) -> float:
+    """The larger one; of a missing value and a value, the value."""
+    return b if a != a else a if b != b else max(a, b)
 
 
 class _Symbol:
@@ -50,13 +46,28 @@ class _Symbol:
             size, nan = len(AT), float("nan")
             kept = ([nan] * size, [1.0] * size, [0] * size, nan, nan, nan, 0, 0, nan, nan, True, nan, nan, 0.02, True)
         avg, w, n, *rest = kept
-        self.avg, self.w, self.n = np.array(avg, float), np.array(w, float), np.array(n, np.int64)
+        self.avg, self.w, self.n = [float(x) for x in avg], [float(x) for x in w], [int(x) for x in n]
         (self.close, self.high, self.low, self.bars, self.newest, self.band_up, self.band_low, self.rising, self.level, self.extreme, self.speed, self.bull) = rest
 
     def kept(self) -> tuple:
-        return (self.avg.tolist(), self.w.tolist(), self.n.tolist(), self.close, self.high, self.low, self.bars, self.newest,
+        return (list(self.avg), list(self.w), list(self.n), self.close, self.high, self.low, self.bars, self.newest,
                 self.band_up, self.band_low, self.rising, self.level, self.extreme, self.speed, self.bull)
 
+    def _smooth(self, first: int, values: tuple[float, ...]) -> None:
+        """One bar for the smoothings from `first` on, in plain floats: arrays of a dozen numbers cost more than the numbers. NaN is a missing value."""
+        avg, weights, n = self.avg, self.w, self.n
+        for i, x in enumerate(values, first):
+            keep, gain, adjust = RATES[i]
+            old, decayed = avg[i], weights[i] * keep
+            if x != x:
+                weights[i] = 1.0 if old != old else decayed
+                continue
+            if old != old:
+                avg[i], weights[i] = x, 1.0
+            else:
+                avg[i], weights[i] = (decayed * old + gain * x) / (decayed + gain), decayed + 1 if adjust else 1.0
+            n[i] += 1
+
     def _ready(self, name: str, least: int = PERIOD) -> float:
         return self.avg[AT[name]] if self.n[AT[name]] >= least else float("nan")
 
@@ -64,11 +75,11 @@ class _Symbol:
         reach, mid = 3.0 * self._ready("trend", 10), (high + low) / 2
         upper, lower = mid + reach, mid - reach
         self.rising = True if close > self.band_up else False if close < self.band_low else self.rising
-        self.band_up = np.fmin(upper, self.band_up) if self.close <= self.band_up else upper
-        self.band_low = np.fmax(lower, self.band_low) if self.close >= self.band_low else lower
+        self.band_up = -_most(-upper, -self.band_up) if self.close <= self.band_up else upper
+        self.band_low = _most(lower, self.band_low) if self.close >= self.band_low else lower
 
     def _reverse(self, high: float, low: float) -> None:
-        if np.isnan(self.level):
+        if self.level != self.level:
             self.level, self.extreme, self.speed, self.bull = low, high, 0.02, True
             return
         level = self.level + self.speed * (self.extreme - self.level)
@@ -83,16 +94,14 @@ class _Symbol:
 
     def bar(self, high: float, low: float, close: float) -> tuple:
         up, down, change = high - self.high, self.low - low, close - self.close
-        span = np.fmax(np.fmax(high - low, abs(high - self.close)), abs(low - self.close))
-        x = np.array([*[close] * len(EMA), max(change, 0.0) if change == change else change, max(-change, 0.0) if change == change else change, span, span,
-                      up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0, span])
-        k = len(FIRST)
-        _smooth(self.avg[:k], self.w[:k], self.n[:k], x, ALPHA, ADJUST)
+        span = _most(_most(high - low, abs(high - self.close)), abs(low - self.close))
+        self._smooth(0, (*[close] * len(EMA), max(change, 0.0) if change == change else change, max(-change, 0.0) if change == change else change, span, span,
+                         up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0, span))
         macd = self.avg[AT["ema12"]] - self.avg[AT["ema26"]]
         true = self._ready("wilder")
         plus, minus = (100 * self._ready(m) / true if true else float("nan") for m in ("plus", "minus"))
         dx = 100 * abs(plus - minus) / (plus + minus) if plus + minus else float("nan")
-        _smooth(self.avg[k:], self.w[k:], self.n[k:], np.array([macd, dx]), np.array([SIGNAL, WILDER]), np.array([False, False]))
+        self._smooth(len(FIRST), (macd, dx))
         self._trend(high, low, close)
         self._reverse(high, low)
         self.high, self.low, self.close, self.bars = high, low, close, self.bars + 1
@@ -134,12 +143,11 @@ class RunningIndicators(_Expiring):
         frame, at = _in_order(rows, s.newest if s.bars else -(1 << 62))
         if not len(frame):
             return
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = []
-            for time, *bar in zip(at.tolist(), *(frame[c].astype(float) for c in ("high", "low", "close")), strict=True):
-                s = s if not s.bars or time - s.newest <= self.idle else _Symbol(None)
-                out.append(s.bar(*bar))
-                s.newest = time
+        out = []
+        for time, *bar in zip(at.tolist(), *(frame[c].astype(float).tolist() for c in ("high", "low", "close")), strict=True):
+            s = s if not s.bars or time - s.newest <= self.idle else _Symbol(None)
+            out.append(s.bar(*bar))
+            s.newest = time
         self.state.update(s.kept())
         self._wait(s.newest)
         names = [c.strip().split(" ")[0] for c in OUTPUT.split(",")]
