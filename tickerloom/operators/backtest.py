@@ -92,20 +92,23 @@ def _ahead(w: WindowSpec, horizons: Sequence[int]) -> dict[str, Column]:
     return {"n_future": F.count("*").over(every) - F.row_number().over(w), **fwd}
 
 
-def scored_panel(bars: DataFrame, min_hist: int = MIN_HIST, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+def scored_panel(bars: DataFrame, min_hist: int = MIN_HIST, horizons: Sequence[int] = HORIZONS, by_symbol_: DataFrame | None = None) -> DataFrame:
     """One row per (rebalance date, symbol, horizon): score and forward return.
 
     A bar is the newest of its symbol from its own day to the day before the next bar, so it serves the rebalance
     dates in between: months without bars take the bar before them, and no grid of symbols and months is built.
+    `by_symbol_` are the same bars as they should be dealt to the scoring tasks, by symbol.
     """
     least = min_hist + max(horizons)
     calendar = _eligible_calendar(bars, least)
     w = scans.symbol_window()
-    s = score_series(eligible(bars, min_hist, horizons), {**_ahead(w, horizons), "_next": F.lead("ts").over(w)})
+    s = score_series(eligible(bars if by_symbol_ is None else by_symbol_, min_hist, horizons), {**_ahead(w, horizons), "_next": F.lead("ts").over(w)})
+    # a month's date is not before any of its bars, so a bar followed by one of the same month serves none: most bars never meet the dates
+    last_of_month = C("_next").isNull() | (F.trunc("_next", "month") != F.trunc("ts", "month"))
     served = F.filter("_dates", lambda d: (d >= C("ts")) & (C("_next").isNull() | (d < C("_next"))))
     # one row of dates, one a month: a broadcast bounded by the calendar; the row itself needs min_hist bars of history
     # and the shortest horizon ahead
-    rows = s.where((C("rn") + 1 >= min_hist) & (C("n_future") >= min(horizons))).crossJoin(calendar)
+    rows = s.where((C("rn") + 1 >= min_hist) & (C("n_future") >= min(horizons)) & last_of_month).crossJoin(calendar)
     rows = rows.select("symbol", F.explode(served).alias("rebalance"), "longterm_score", *[f"fwd_{h}" for h in horizons])
     long = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), C(f"fwd_{h}").alias("fwd_ret"))
                                for h in horizons])).alias("x")
