@@ -53,3 +53,10 @@ def test_projection_takes_the_tie(spark):
     cases = {(30.8, 11.7): 0.2, (31.6, 8.4): 0.0, (30.0, 3.0): -0.2, (33.2, 7.8): 0.0}
     got = projected(spark, cases).collect()
     assert {(v.investment_score, v.analyst_upside_pct): v.projection_long[0].center_pct for v in got} == cases
+
+
+def test_upside_takes_the_tie(spark):
+    # one analyst only, so the upside is the projection of twelve months: 0.05 but for the last bits
+    cases = {(37.0, 5.0): 0.0, (41.4, 3.1): 0.0, (43.0, 2.5): 0.0, (45.0, 2.0): 0.0, (49.0, 0.5): 0.0}
+    got = outlook.upside(projected(spark, cases)).collect()
+    assert {(v.investment_score, v.analyst_upside_pct): v.upside_pct for v in got} == cases
